@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-_MODULES = ["rows"]
+_MODULES = ["aggregates", "text"]
 
 
 def query(name: str, sql: str | None = None):

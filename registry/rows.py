@@ -274,7 +274,7 @@ WORDS = rf"""w AS (SELECT DISTINCT lang, unnest(regexp_extract_all(lower(text),
 def except_words(spark, d):
     words = table(spark, d, "documents", "doc_id").select("lang", F.explode(tx.terms(F.col("text"))).alias("word"))
     english = words.where("lang = 'en'").select("word").distinct()
-    return lexicon.words_not_in(english, words.where("lang <> 'en'").select("word"))
+    return lexicon.words_not_in(english, words.where("lang <> 'en'").select("word").distinct(), listed=False)
 
 
 @query("intersect_words", f"""WITH {WORDS} SELECT word FROM w WHERE lang = 'en' INTERSECT SELECT word FROM w WHERE lang <> 'en'""")

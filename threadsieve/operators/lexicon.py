@@ -9,14 +9,21 @@ from threadsieve.functions.text import NON_SPACE, WORD, split_sentences
 from threadsieve.session import hint_if_small
 
 
-def words_in(words: DataFrame, lexicon: DataFrame, column: str = "word") -> DataFrame:
-    """Rows whose word is in the lexicon."""
-    return words.join(hint_if_small(lexicon.select(column).distinct()), column, "left_semi")
+def words_in(words: DataFrame, lexicon: DataFrame, column: str = "word", listed: bool = True) -> DataFrame:
+    """Rows whose word is in the lexicon.
+
+    A ``listed`` lexicon is a stored list: its size is checked and decides on a
+    broadcast. A derived one is not computed just to be counted; the join is
+    left to the optimizer.
+    """
+    side = lexicon.select(column)
+    return words.join(hint_if_small(side) if listed else side, column, "left_semi")
 
 
-def words_not_in(words: DataFrame, lexicon: DataFrame, column: str = "word") -> DataFrame:
+def words_not_in(words: DataFrame, lexicon: DataFrame, column: str = "word", listed: bool = True) -> DataFrame:
     """Rows whose word is not in the lexicon."""
-    return words.join(hint_if_small(lexicon.select(column).distinct()), column, "left_anti")
+    side = lexicon.select(column)
+    return words.join(hint_if_small(side) if listed else side, column, "left_anti")
 
 
 def word_df_by_class(
