@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-_MODULES = ["aggregates", "text"]
+_MODULES = ["features", "evaluation", "monitoring"]
 
 
 def query(name: str, sql: str | None = None):

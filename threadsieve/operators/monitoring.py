@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadsieve.operators.evaluation import MIN_RECALL, _ratio, counts_above, threshold_for_recall
@@ -111,3 +111,28 @@ def false_positive_reduction(errors: DataFrame, by: list[str]) -> DataFrame:
             F.col("baseline_fp") != 0, (F.col("baseline_fp") - F.col("fp")) / F.col("baseline_fp") * 100
         ))
     )
+
+
+def slice_distributions(
+    df: DataFrame, columns: list[str], target: str = "target", predicted: str = "predicted_label"
+) -> DataFrame:
+    """Distribution of each column over all rows and over the error slices.
+
+    Rows are counted once per combination of class, prediction and the columns;
+    slices and measures are made from those few counts.
+    """
+    counts = df.groupBy(target, predicted, *columns).agg(F.count("*").alias("_n"))
+    t, p = F.col(target), F.col(predicted)
+    slices = F.array_compact(F.array(
+        F.lit("all"),
+        F.when((t == 0) & (p == 1), "false_positive").when((t == 1) & (p == 0), "false_negative"),
+    ))
+    measures = F.array(*[
+        F.struct(F.lit(c).alias("measure"), F.col(c).cast("string").alias("value")) for c in columns
+    ])
+    lines = counts.select(F.explode(slices).alias("slice"), measures.alias("_m"), "_n").select(
+        "slice", F.inline("_m"), "_n"
+    )
+    summed = lines.groupBy("slice", "measure", "value").agg(F.sum("_n").alias("count"))
+    w = Window.partitionBy("slice", "measure")
+    return summed.withColumn("percentage", F.col("count") / F.sum("count").over(w))
