@@ -38,9 +38,9 @@ def calibrate_apply(spark, d):
 
 
 @query("frozen_vs_refreshed", f"""WITH {SCORED}, {scored_sql('s1', 'v1')}, {calibrated_sql('b0', 'scored')}, {calibrated_sql('b1', 's1')},
-both AS (SELECT 'frozen' AS model, target, prob, (SELECT threshold FROM b0) AS threshold FROM scored WHERE day(time) > 15
+pair AS (SELECT 'frozen' AS model, target, prob, (SELECT threshold FROM b0) AS threshold FROM scored WHERE day(time) > 15
   UNION ALL SELECT 'refreshed', target, prob, (SELECT threshold FROM b1) FROM s1 WHERE day(time) > 15)
-SELECT * FROM {metrics_sql('both', 'prob > threshold', 'model')}""")
+SELECT * FROM {metrics_sql('pair', 'prob > threshold', 'model')}""")
 def frozen_vs_refreshed(spark, d):
     named = {"frozen": "v0", "refreshed": "v1"}
     parts = [
@@ -123,8 +123,9 @@ s AS (SELECT 'all' AS slice, * FROM p UNION ALL SELECT 'false_positive', * FROM
   UNION ALL SELECT 'false_negative', * FROM p WHERE target = 1 AND predicted_label = 0)"""
 
 
-@query("slice_distribution", f"""WITH {_SLICED}, u AS (SELECT slice, 'bucket' AS measure, bucket AS value FROM s UNION ALL SELECT slice, 'is_feedback', is_feedback FROM s)
-SELECT slice, measure, value, count(*) AS count, round(count(*) / sum(count(*)) OVER (PARTITION BY slice, measure), 9) AS percentage FROM u GROUP BY ALL""")
+@query("slice_distribution", f"""WITH {_SLICED}, u AS (SELECT slice, 'bucket' AS measure, bucket AS value FROM s UNION ALL SELECT slice, 'is_feedback', is_feedback FROM s),
+c AS (SELECT slice, measure, value, count(*) AS n FROM u GROUP BY slice, measure, value)
+SELECT slice, measure, value, n AS count, round(n / sum(n) OVER (PARTITION BY slice, measure), 9) AS percentage FROM c""")
 def slice_distribution(spark, d):
     words = tx.word_count(F.col("email"))
     labelled = emails(spark, d, heavy=True).select(
