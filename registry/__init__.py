@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-_MODULES = ["monitoring", "storage", "models", "streams"]
+_MODULES = ["rows", "aggregates", "text", "features", "sampling", "evaluation", "monitoring", "storage", "models", "streams"]
 
 
 def query(name: str, sql: str | None = None):

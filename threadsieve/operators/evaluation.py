@@ -330,7 +330,7 @@ def _top_shares(df: DataFrame, shares: list[float], prob: str, target: str, row_
     ])))
     wanted = sized.where(F.col("top_n") > 0).groupBy(_ALL).agg(F.collect_set("top_n").alias("ks"))
     cuts = rank_cuts(
-        rows, wanted, [_ALL], ["_l1", "_l2", "_l3", "_l4"], [F.col("_digest")], ["_s", "_digest"]
+        rows, wanted, [_ALL], ["_l1", "_l2", "_l3", "_l4"], ["_digest"], ["_s", "_digest"]
     ).groupBy(_ALL).agg(F.sort_array(F.collect_list(F.struct("rank", "_s", "_digest"))).alias("_cuts"))
 
     def outside(c: Column) -> Column:

@@ -10,32 +10,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Rows of a few narrow columns that one task may sort.
+TASK_ROWS = 1_000_000
+
 
 def rank_cuts(
     rows: DataFrame,
     wanted: DataFrame,
     group: list[str],
     levels: list[str],
-    order: list[Column],
+    order: list[str],
     keep: list[str],
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Find, per group, the rows standing at given ranks.
 
     ``wanted`` has the group columns and ``ks``, an array of 1-based ranks.
-    ``levels`` name columns of ``rows`` whose ascending lexicographic order,
-    followed by ``order``, is the ranking. Returns group columns, ``rank`` and
-    the ``keep`` columns of the row at that rank: one row per wanted rank.
+    ``levels`` and then ``order`` name columns of ``rows`` whose ascending
+    lexicographic order is the ranking. Returns group columns, ``rank`` and the
+    ``keep`` columns of the row at that rank: one row per wanted rank.
 
     Each level counts rows per bucket (partial aggregation, nothing else is
-    shuffled) and keeps the one bucket a rank falls into, so only the last
-    bucket is ever ranked row by row.
+    shuffled) and keeps the bucket each rank falls into. It ends once every such
+    bucket has at most ``task_rows`` rows; only those are ranked row by row.
+    The search runs when called. Between the levels, and as the result, only one
+    row per wanted rank is held, as a local table.
     """
+    spark = rows.sparkSession
     state = wanted.select(
         *group,
         F.transform("ks", lambda k: F.struct(k.cast("long").alias("rank"), k.cast("long").alias("left"))).alias("ks"),
     )
-    prefix = list(group)
-    for level in levels:
+    prefix, rest = list(group), list(levels)
+    while rest:
+        level = rest.pop(0)
         counted = (
             rows.join(F.broadcast(state), prefix)
             .groupBy(*prefix, "ks", level)
@@ -45,7 +53,7 @@ def rank_cuts(
             Window.partitionBy(*prefix).orderBy(level)
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        state = (
+        found = (
             counted
             .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
             .withColumn("ks", F.filter(
@@ -57,17 +65,24 @@ def rank_cuts(
                 "ks",
                 lambda k: F.struct(k["rank"].alias("rank"), (k["left"] - F.col("_before")).alias("left")),
             ))
-            .select(*prefix, level, "ks")
+            .select(*prefix, level, "ks", "_n")
         )
+        buckets = found.collect()
+        state = spark.createDataFrame(buckets, found.schema).drop("_n")
         prefix = prefix + [level]
-    return (
+        if max((b["_n"] for b in buckets), default=0) <= task_rows:
+            break
+    ranked = Window.partitionBy(*prefix).orderBy(*rest, *order)
+    columns = [c for c in keep if c not in group]
+    cuts = (
         rows.join(F.broadcast(state), prefix)
-        .withColumn("_rn", F.row_number().over(Window.partitionBy(*prefix).orderBy(*order)))
+        .withColumn("_rn", F.row_number().over(ranked))
         .withColumn("_hit", F.filter("ks", lambda k: k["left"] == F.col("_rn")))
         .where(F.size("_hit") > 0)
-        .select(*group, F.explode("_hit").alias("_hit"), *[c for c in keep if c not in group])
-        .select(*group, F.col("_hit.rank").alias("rank"), *[c for c in keep if c not in group])
+        .select(*group, F.explode("_hit").alias("_hit"), *columns)
+        .select(*group, F.col("_hit.rank").alias("rank"), *columns)
     )
+    return spark.createDataFrame(cuts.collect(), cuts.schema)
 
 
 def positions(

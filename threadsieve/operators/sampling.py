@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from threadsieve.functions.keys import digest, digest_level, seeded_long
 from threadsieve.operators.ranking import positions, rank_cuts
+from threadsieve.session import store
 
 
 def _numbered(df: DataFrame, target: str, row_id: str) -> DataFrame:
     rows = df.where(F.col(target).isNotNull()).select(
         F.col(target), F.col(row_id), digest(F.col(row_id)).alias("_digest")
     ).withColumn("_l1", digest_level(F.col("_digest")))
-    return positions(rows, [target], "_l1", [F.col("_digest"), F.col(row_id)])
+    # Read four times below, so it is written once: ids and numbers only.
+    numbered = positions(rows, [target], "_l1", [F.col("_digest"), F.col(row_id)])
+    return store(numbered.select(target, row_id, "position"), "numbered")
 
 
 def _with_draws(df: DataFrame, numbered: DataFrame, draws: DataFrame, seed: int, target: str, row_id: str) -> DataFrame:
@@ -68,7 +71,7 @@ def sample_prevalence(
         F.count("*").alias("_n"), F.count_if(F.col(target) == 1).alias("_pos")
     ).select("_all", F.array(F.least("_n", F.col("_pos") * (1 + ratio))).alias("ks"))
     cut = rank_cuts(
-        rows, wanted, ["_all"], ["_l1"], [F.col("_digest")], ["_digest"]
+        rows, wanted, ["_all"], ["_l1"], ["_digest"], ["_digest"]
     ).select("_all", F.col("_digest").alias("_last"))
     return (
         df.withColumn("_all", F.lit(0))

@@ -57,7 +57,7 @@ def split_newest(
     ).withColumn("_l4", digest_level(F.col("_digest")))
     cuts = rank_cuts(
         rows, _share_per_class(rows, target, share), [target], ["_l1", "_l2", "_l3", "_l4"],
-        [F.col("_digest")], ["_time", "_digest"],
+        ["_digest"], ["_time", "_digest"],
     ).drop("rank")
     in_val = (F.col(time) > F.col("_time")) | (
         (F.col(time) == F.col("_time")) & (digest(F.col(row_id)) <= F.col("_digest"))
@@ -78,7 +78,7 @@ def split_shuffled(
         "_l1", digest_level(F.col("_digest"))
     )
     cuts = rank_cuts(
-        rows, _share_per_class(rows, target, share), [target], ["_l1"], [F.col("_digest")], ["_digest"]
+        rows, _share_per_class(rows, target, share), [target], ["_l1"], ["_digest"], ["_digest"]
     ).drop("rank")
     in_val = digest(F.col(row_id), seed) <= F.col("_digest")
     return (
@@ -108,7 +108,7 @@ def shard(df: DataFrame, n: int, time: str = "time", row_id: str = "snapshot_id"
     ends = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: j * base + F.least(j.cast("long"), extra))
     wanted = total.select("_all", F.array_distinct(F.filter(ends, lambda e: e > 0)).alias("ks"))
     cuts = rank_cuts(
-        rows, wanted, ["_all"], ["_l1", "_l2", "_l3", "_l4"], [F.col("_digest")], ["_time", "_digest"]
+        rows, wanted, ["_all"], ["_l1", "_l2", "_l3", "_l4"], ["_digest"], ["_time", "_digest"]
     )
     # The n last rows of the shards, as one small array.
     bounds = cuts.groupBy("_all").agg(

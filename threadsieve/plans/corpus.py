@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadsieve.functions import text as tx
 from threadsieve.functions.lexicons import BOILERPLATE, STOP_WORDS
 from threadsieve.operators import distributions, rows, sampling, splits, threads
+from threadsieve.session import store
 
 DEDUP = {
     None: lambda df: df,
@@ -17,9 +18,13 @@ DEDUP = {
 
 
 def select_messages(df: DataFrame, start: str, end: str, state: str = "closed", dedup: str | None = None) -> DataFrame:
-    """Non-empty messages of a state and time window, one per thread if asked."""
+    """Non-empty messages of a state and time window, one per thread if asked.
+
+    A deduplicated selection is stored: splitting and sampling read its narrow
+    columns several times.
+    """
     kept = rows.in_window(rows.in_state(rows.nonempty(df), state), start, end)
-    return DEDUP[dedup](kept)
+    return store(DEDUP[dedup](kept), "messages") if dedup else kept
 
 
 def split_and_label(df: DataFrame, test: str, feedback_counts: bool = True, val_share: float = 0.2) -> DataFrame:
@@ -60,7 +65,8 @@ def balance(df: DataFrame, ratio: int, seed: int = 101) -> DataFrame:
 def monthly_labels(df: DataFrame, start: str, end: str) -> DataFrame:
     """Label distribution per month of closed messages, the newest per thread,
     that still hold words after cleaning."""
-    kept = clean_texts(select_messages(df, start, end, dedup="latest"), separator="\n")
+    kept = rows.in_window(rows.in_state(rows.nonempty(df)), start, end)
+    kept = clean_texts(threads.latest_per_thread(kept), separator="\n")
     kept = rows.with_calendar(rows.nonempty(kept, "preprocessed_email"))
     return distributions.distribution(
         kept.withColumn("target", rows.complaint()), "target", ["year", "month"]

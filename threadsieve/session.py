@@ -59,3 +59,15 @@ def hint_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Broadcast ``df`` when a bounded count proves it small, else leave the
     join strategy to the optimizer (shuffle join, AQE skew handling)."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def store(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table to the shared scratch folder and read it back.
+
+    For results that several branches of a plan read: the work is done once, a
+    lost executor does not repeat it, and later scans read only the columns they
+    need.
+    """
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

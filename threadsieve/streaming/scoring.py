@@ -41,6 +41,11 @@ def response_json(df: DataFrame) -> Column:
     return F.to_json(F.struct("snapshot_id", "status", "reasons", "pred_response", "pred_1", "pred_0"))
 
 
+def _event_time(df: DataFrame, time: str) -> DataFrame:
+    """Watermarks need a zoned timestamp; sessions run in UTC, so days agree."""
+    return df.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def daily_error_counts(
     scored: DataFrame, predicted: Column, time: str = "time", target: str = "target", late: str = LATE
 ) -> DataFrame:
@@ -48,7 +53,7 @@ def daily_error_counts(
     a day is final once it is that old."""
     named = counts_above(F.col(target), predicted)
     return (
-        scored.withWatermark(time, late)
+        _event_time(scored, time).withWatermark(time, late)
         .groupBy(F.window(time, "1 day").alias("w"))
         .agg(*[c.alias(n) for n, c in named.items()])
         .select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), *named)
@@ -57,7 +62,7 @@ def daily_error_counts(
 
 def drop_repeats(df: DataFrame, keys: list[str], time: str = "time", late: str = LATE) -> DataFrame:
     """The first delivery of each message; state is kept for the watermark only."""
-    return df.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+    return _event_time(df, time).withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
 def latest_per_thread(
