@@ -9,7 +9,7 @@ from registry import query
 from registry.views import TEST_MONTH, emails
 from threadsieve.operators import evaluation, tfidf, trees
 from threadsieve.plans import corpus, training
-from threadsieve.session import scratch_path
+from threadsieve.session import scratch_path, store
 from threadsieve.sources import writers
 
 START, END = "2022-08-01", "2023-09-30"
@@ -71,6 +71,8 @@ def score_batch(spark, d):
 def bundle_sanity(spark, d):
     model, threshold = _bundle(spark, d)
     test = trees.score(model, _corpus(spark, d).where("data_type = 'test'"))
+    # The metrics read the scores several times; the texts are scored once.
+    test = store(test.select("snapshot_id", "target", trees.PROB), "predictions")
     return evaluation.evaluate(test, threshold or 0.5, trees.PROB)
 
 

@@ -44,7 +44,7 @@ def train_bundle(
         "is_val", F.col("data_type") == "val"
     )
     model = trees.train_gbt(seen, validation="is_val", **tree_options)
-    val = trees.score(model, table.where("data_type = 'val'"))
+    val = trees.score(model, table.where("data_type = 'val'")).select("target", trees.PROB)
     best = evaluation.threshold_for_recall(val, min_recall, trees.PROB).first()
     bundle = PipelineModel([*vectors.stages, model])
     return writers.save_bundle(bundle, best.best_threshold if best else None, path)
