@@ -13,6 +13,9 @@ from threadsieve.operators import fuzzy, lexicon
 STOPS = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
 
 
+EDGE_SPACE = rf"^[{tx.SPACE}]+|[{tx.SPACE}]+$"
+
+
 def q(pattern: str) -> str:
     """A pattern as an SQL string."""
     return "'" + pattern.replace("'", "''") + "'"
@@ -25,9 +28,10 @@ def sub(text: str, pattern: str, to: str = "") -> str:
 def rewritten(text: str) -> str:
     """The rewriting rules as nested SQL calls, on whole texts."""
     t = f"lower({text})"
-    for p in (tx.TAG, tx.CARRIAGE_MARK, tx.ZERO_WIDTH_RUN, tx.DISALLOWED, tx.LONG_TOKEN):
+    for p in (tx.TAG, tx.CARRIAGE_MARK, tx.ZERO_WIDTH_RUN, tx.DISALLOWED):
         t = sub(t, p)
-    t = f"trim({sub(t, tx.SPACE_RUN, ' ')})"
+    words = f"list_filter(regexp_split_to_array({t}, {q(tx.SPACE_RUN)}), lambda w: length(w) BETWEEN 1 AND {tx.MAX_TOKEN})"
+    t = f"array_to_string({words}, ' ')"
     for p in (tx.DOT_RUN, tx.ADDRESS, tx.URL, tx.PHONE):
         t = sub(t, p)
     return t
@@ -48,7 +52,7 @@ def cleaned(text: str) -> str:
 
 def sentence_list(text: str) -> str:
     marked = sub(text, tx.SENTENCE_END, r"\1" + "\u0001")
-    trimmed = f"list_transform(string_split({marked}, chr(1)), lambda s: {sub('s', tx.EDGE_SPACE)})"
+    trimmed = f"list_transform(string_split({marked}, chr(1)), lambda s: {sub('s', EDGE_SPACE)})"
     return f"list_filter({trimmed}, lambda s: s <> '')"
 
 
@@ -75,7 +79,7 @@ def clean_pages(spark, d):
     return table(spark, d, "pages", "page_id").select("page_id", tx.clean(F.col("html")).alias("preprocessed_email"))
 
 
-_LINE = sub(sub("s", "^>"), tx.EDGE_SPACE)
+_LINE = sub(sub("s", "^>"), EDGE_SPACE)
 # Lines of every other turn are quoted, as in a reply.
 _QUOTED = "CASE WHEN turn % 2 = 1 THEN '> ' || replace(text, chr(10), chr(10) || '> ') ELSE text END"
 
@@ -190,7 +194,7 @@ def remove_stopwords(spark, d):
 
 def bow(text: str) -> str:
     kept = f"array_to_string({no_stops(token_list(text))}, ' ')"
-    letters = f"replace({sub(kept, tx.NON_LETTERS, ' ')}, '_', '')"
+    letters = f"replace({sub(kept, f'([0-9]|[^{tx.WORD}]|' + chr(92) + 'p{Nd})+', ' ')}, '_', '')"
     return f"array_to_string(regexp_extract_all({letters}, {q(tx.NON_SPACE)}), ' ')"
 
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from threadsieve.functions.lexicons import BOILERPLATE, STOP_WORDS
 
 # Members of a character class: Unicode white space, and word characters.
-SPACE = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# Control characters are listed one by one: they then share one bit set in Java.
+SPACE = r"\t\n\x0B\f\r\x1C\x1D\x1E\x1F\x{85}\p{Z}"
 WORD = r"\p{L}\p{N}_"
 
 # The cleaning rules and the header marks of quoted messages.
@@ -24,7 +25,7 @@ CARRIAGE_MARK = "_x000d_"
 ZERO_WIDTH_RUN = r"\x{200C}\x{A0}+"
 DISALLOWED = rf"[^A-Za-z{SPACE}\p{{Nd}}+/.:\-,;?'\"%$]"
 MAX_TOKEN = 20
-DOT_RUN = rf"([{SPACE}]\.){{2,}}"
+DOT_RUN = r"( \.){2,}"
 ADDRESS = rf"\p{{Nd}}+[{SPACE}]+[a-zA-Z0-9{SPACE},]+[{SPACE}]+[a-zA-Z]+[{SPACE}]+\p{{Nd}}{{5}}"
 URL = (
     r"(?:https?:\/\/)?(?:www\.)?[-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b"
@@ -36,26 +37,43 @@ HEADER_MARKS = [
 ]
 MIN_WORDS = 10
 
-LONG_TOKEN = rf"[^{SPACE}]{{{MAX_TOKEN + 1},}}"
+# The rules as they are run. A failing match attempt is repeated from every later
+# start, which is quadratic on long texts; so the second alternative takes the
+# stretch in which no later start can succeed either, and $1 puts it back.
+TAG_OR_OPEN = r"<[^>]*>|(<[^>]*\z)"
+ADDRESS_OR_RUN = (
+    r"\p{Nd}+ [a-zA-Z0-9 ,]+ [a-zA-Z]+ \p{Nd}{5}|(\p{Nd}+ (?:[a-zA-Z0-9 ,]*[a-zA-Z ,])?)"
+)
+ADDRESS_FOUND = (
+    rf"(\p{{Nd}}[{SPACE}][a-zA-Z0-9{SPACE},]+[{SPACE}][a-zA-Z]+[{SPACE}]+\p{{Nd}}{{5}})"
+    rf"|\p{{Nd}}[{SPACE}][a-zA-Z0-9{SPACE},]*"
+)
+LONG_TOKEN = rf" ?[^ ]{{{MAX_TOKEN + 1},}}"
 SPACE_RUN = rf"[{SPACE}]+"
 NON_SPACE = rf"[^{SPACE}]+"
-EDGE_SPACE = rf"^[{SPACE}]+|[{SPACE}]+$"
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 DIGITS = r"\p{Nd}+"
-FIVE_DIGITS = r"\p{Nd}{5}"
 TOKEN = rf"[{WORD}]+(?:'[{WORD}]+)?|[^{WORD}{SPACE}]"
 WORD_OR_PUNCT = rf"[{WORD}]+|[^{WORD}{SPACE}]+"
 TERM = rf"[{WORD}]{{2,}}"
 SENTENCE_END = rf"([.!?])[{SPACE}]+"
 NUMERIC = r"^\p{N}+$"
-NON_LETTERS = rf"(?:\p{{Nd}}|[^{WORD}])+"
+NON_LETTERS = r"[^\p{L}\p{Nl}\p{No}_]+"
 
 
 def _delete(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, "")
 
 
-def _all(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), 0)
+def _strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(SPACE_CHARS))
+
+
+def _all(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), group)
 
 
 def normalise_quotes(text: Column) -> Column:
@@ -79,7 +97,7 @@ def tokenize_word_punct(text: Column) -> Column:
 
 def split_sentences(text: Column) -> Column:
     marked = F.regexp_replace(text, SENTENCE_END, "$1\u0001")
-    trimmed = F.transform(F.split(marked, "\u0001"), lambda s: _delete(s, EDGE_SPACE))
+    trimmed = F.transform(F.split(marked, "\u0001"), _strip)
     return F.filter(trimmed, lambda s: s != "")
 
 
@@ -93,15 +111,12 @@ def without_stop_words(tokens: Column, stop_words: list[str] | None = STOP_WORDS
 def rewrite(text: Column) -> Column:
     """The ordered rewriting rules, up to the removal of phone numbers."""
     t = F.lower(text)
-    t = _delete(t, TAG)
+    t = F.regexp_replace(t, TAG_OR_OPEN, "$1")
     t = _delete(t, CARRIAGE_MARK)
     t = _delete(t, ZERO_WIDTH_RUN)
     t = _delete(t, DISALLOWED)
-    t = _delete(t, LONG_TOKEN)
-    t = F.trim(F.regexp_replace(t, SPACE_RUN, " "))
-    t = _delete(t, DOT_RUN)
-    # The address rule needs a five-digit code; most texts have none.
-    t = F.when(t.rlike(FIVE_DIGITS), _delete(t, ADDRESS)).otherwise(t)
+    t = F.trim(_delete(F.regexp_replace(t, SPACE_RUN, " "), LONG_TOKEN))
+    t = F.regexp_replace(_delete(t, DOT_RUN), ADDRESS_OR_RUN, "$1")
     # A URL match never crosses a space, so only tokens with a dot are tried.
     t = F.array_join(
         F.transform(F.split(t, " "), lambda w: F.when(w.contains("."), _delete(w, URL)).otherwise(w)), " "
@@ -124,7 +139,7 @@ def clean(text: Column, stop_words: list[str] | None = STOP_WORDS) -> Column:
 
 def strip_quote_marks(text: Column) -> Column:
     """Drop one leading ``>`` per line and trim every line."""
-    lines = F.transform(F.split(text, "\n"), lambda s: _delete(_delete(s, "^>"), EDGE_SPACE))
+    lines = F.transform(F.split(text, "\n"), lambda s: _strip(_delete(s, "^>")))
     return F.array_join(lines, "\n")
 
 
@@ -135,7 +150,7 @@ def remove_layout(text: Column, separator: str = "\n\n", min_words: int = MIN_WO
     def keep(p: Column) -> Column:
         low = F.lower(p)
         marked = reduce(or_, [low.contains(m) for m in HEADER_MARKS])
-        address = low.rlike(FIVE_DIGITS) & low.rlike(ADDRESS)
+        address = F.exists(_all(low, ADDRESS_FOUND, 1), lambda m: m != "")
         return (word_count(p) >= min_words) & ~(marked | low.rlike(PHONE) | address)
 
     return F.array_join(F.filter(F.split(plain, separator), keep), separator)
