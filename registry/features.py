@@ -8,7 +8,7 @@ from pyspark.ml.feature import StringIndexer
 
 from registry import query
 from registry.text import STOPS, chats, docs, q, token_list
-from registry.views import emails, r9, table
+from registry.views import EMAILS, TARGET, emails, r9, table
 from threadsieve.functions import text as tx
 from threadsieve.functions.lexicons import STOP_WORDS
 from threadsieve.operators import packing, tfidf
@@ -87,7 +87,10 @@ def flt_zero_features(spark, d):
     return tfidf.has_features(_vectors(spark, d)[1]).select("doc_id")
 
 
-@query("feature_table")
+@query("feature_table", f"""WITH {EMAILS}, {TFIDF}, hits AS (SELECT doc_id, count(*) AS n FROM tfidf GROUP BY doc_id)
+SELECT snapshot_id, gcid, {TARGET} AS target_variable, CAST((SELECT count(*) FROM vocab) + 1 AS INTEGER) AS n_features,
+CAST(coalesce(n, 0) + CASE WHEN len(regexp_extract_all(email, {q(tx.NON_SPACE)})) > 0 THEN 1 ELSE 0 END AS INTEGER) AS n_set
+FROM emails LEFT JOIN hits ON doc_id = snapshot_id""")
 def feature_table(spark, d):
     from threadsieve.operators.rows import complaint
     messages = emails(spark, d, heavy=True).select(
@@ -100,8 +103,8 @@ def feature_table(spark, d):
     )
     parts = F.unwrap_udt("features")
     return table_.select(
-        "snapshot_id", "gcid", "target_variable", parts["size"].alias("n_features"),
-        F.coalesce(F.size(parts["indices"]), parts["size"]).alias("n_set"),
+        "snapshot_id", "gcid", "target_variable", F.coalesce(parts["size"].cast("int"), F.size(parts["values"])).alias("n_features"),
+        F.size(F.filter(parts["values"], lambda v: v != 0)).alias("n_set"),
     )
 
 
@@ -117,7 +120,8 @@ def _token_counter():
     return lambda texts: [sum(-(-len(w) // 4) for w in t.split()) for t in texts]
 
 
-@query("token_length")
+@query("token_length", f"""SELECT doc_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(coalesce(text, ''), {q(tx.NON_SPACE)}),
+lambda w: (length(w) + 3) // 4)), 0) AS INTEGER) AS text_length FROM documents""")
 def token_length(spark, d):
     from threadsieve.functions.tokens import token_length as length
     return docs(spark, d).select("doc_id", length(F.col("text"), _token_counter).alias("text_length"))

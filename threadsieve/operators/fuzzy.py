@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,11 @@ def indel_similarity(a: str, b: str) -> float:
     return 200.0 * common / (len(a) + len(b))
 
 
+def plain_words(text: str) -> str:
+    """ASCII letters, digits and underscores in lower case, the rest as spaces."""
+    return re.sub(r"\W", " ", text.encode("ascii", "ignore").decode()).lower()
+
+
 def token_set_similarity(a: str, b: str, floor: float = 0.0) -> float:
     """Similarity of two word sets, 0 to 100.
 
@@ -59,8 +66,13 @@ def token_set_similarity(a: str, b: str, floor: float = 0.0) -> float:
 def remove_similar_phrases(
     df: DataFrame, phrases: list[str], text: str = "email", threshold: float = THRESHOLD, name: str | None = None
 ) -> DataFrame:
-    """Drop the sentences whose word set is similar to a phrase of a short list."""
-    listed = [p.lower() for p in phrases]
+    """Drop the sentences whose word set is similar to a phrase of a short list.
+
+    Case and punctuation do not count; the similarity is rounded to a whole
+    number before it is compared, so ``threshold - 0.5`` is enough.
+    """
+    listed = [plain_words(p) for p in phrases]
+    floor = threshold - 0.5
 
     @F.pandas_udf("array<string>")
     def keep(column: pd.Series) -> pd.Series:
@@ -68,8 +80,8 @@ def remove_similar_phrases(
 
         def ok(s: str) -> bool:
             if s not in seen:
-                low = s.lower()
-                seen[s] = all(token_set_similarity(low, p, threshold) < threshold for p in listed)
+                words = plain_words(s)
+                seen[s] = all(round(token_set_similarity(words, p, floor)) < threshold for p in listed)
             return seen[s]
 
         return column.map(lambda xs: None if xs is None else [s for s in xs if ok(s)])
