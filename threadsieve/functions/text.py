@@ -166,21 +166,25 @@ def remove_short_lines(text: Column, min_words: int = MIN_WORDS) -> Column:
     return F.array_join(F.filter(lines, lambda s: word_count(s) >= min_words), "\n")
 
 
+def drop_sentences(text: Column, hit) -> Column:
+    """Drop the sentences for which ``hit`` holds; it gets the sentence and its
+    lower-case form, which is made once per sentence."""
+    pairs = F.transform(split_sentences(text), lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
+    kept = F.filter(pairs, lambda x: ~hit(x["s"], x["low"]))
+    return F.array_join(F.transform(kept, lambda x: x["s"]), " ")
+
+
 def remove_phrases(text: Column, phrases: list[str] = BOILERPLATE, regex: bool = False) -> Column:
     """Drop every sentence holding one of the phrases, whatever their case.
 
     For a short list kept in code or configuration; a phrase table of any size
     is served by ``operators.lexicon.remove_phrase_table``.
     """
-    def hit(s: Column) -> Column:
-        if regex:
-            return reduce(or_, [s.rlike("(?i)" + p) for p in phrases])
-        low = F.lower(s)
-        return reduce(or_, [low.contains(p.lower()) for p in phrases])
+    def hit(s: Column, low: Column) -> Column:
+        tests = [s.rlike("(?i)" + p) if regex else low.contains(p.lower()) for p in phrases]
+        return reduce(or_, tests, F.lit(False))
 
-    if not phrases:
-        return F.array_join(split_sentences(text), " ")
-    return F.array_join(F.filter(split_sentences(text), lambda s: ~hit(s)), " ")
+    return drop_sentences(text, hit)
 
 
 def bag_of_words(text: Column, stop_words: list[str] | None = STOP_WORDS) -> Column:
@@ -213,7 +217,8 @@ def run_lengths(words: Column) -> Column:
 
     Counting inside the row needs no shuffle and is linear after one sort.
     """
-    ordered = F.array_sort(words)
+    # sort_array compares natively; array_sort would call a lambda per comparison.
+    ordered = F.sort_array(words)
 
     def from_sorted(s: Column) -> Column:
         total = F.size(s)
@@ -257,7 +262,7 @@ def dedup_similar_paragraphs(text: Column, separator: str = "\n\n", threshold: f
 
     def lead(x: Column) -> Column:
         # Longest words first: they are the rarest, so the lead discriminates.
-        by_length = F.array_sort(F.transform(
+        by_length = F.sort_array(F.transform(
             x["v"], lambda e: F.struct((-F.length(e["term"])).alias("l"), e["term"].alias("term"), e["n"].alias("n"))
         ))
         empty = F.array().cast("array<string>")

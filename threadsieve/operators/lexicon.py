@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadsieve.functions.text import NON_SPACE, WORD, split_sentences
+from threadsieve.functions.text import NON_SPACE, WORD, drop_sentences
 from threadsieve.session import hint_if_small
 
 
@@ -84,18 +84,19 @@ def remove_phrase_table(
 ) -> DataFrame:
     """Drop the sentences holding any phrase of a table of any size.
 
-    A phrase inside a sentence brings each of its inner words along as a whole
-    word, so sentences meet phrases by an equi join on one of them (the
-    longest); only those pairs are compared. Phrases of one or two words have no
-    inner word: they must be few and are compared directly.
+    A phrase inside a text brings each of its inner words along as a whole
+    word, so texts meet phrases by an equi join on one of them (the longest).
+    The few phrases met by a text are then searched in its sentences, in its own
+    row. Phrases of one or two words have no inner word: they must be few and
+    are searched in every sentence.
     """
     low = F.lower("phrase")
     inner = F.regexp_extract_all(low, F.lit(rf"[{WORD}]+"), 0)
     inner = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))
     listed = phrases.select(low.alias("phrase")).where(F.length("phrase") > 0).distinct().withColumn(
-        "word", F.get(F.array_sort(F.transform(
+        "word", F.array_min(F.transform(
             inner, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))
-        )), F.lit(0))["w"]
+        ))["w"]
     )
     anchored = listed.where(F.col("word").isNotNull())
     direct = listed.where(F.col("word").isNull()).select("phrase")
@@ -104,26 +105,21 @@ def remove_phrase_table(
     if len(short) > limit:
         raise ValueError(f"more than {limit} phrases of one or two words")
 
-    sentences = df.select(row_id, F.posexplode(split_sentences(F.col(text))).alias("at", "sentence"))
-    sentences = sentences.withColumn("sentence", F.lower("sentence"))
-    by_word = sentences.withColumn(
-        "word", F.explode(F.array_distinct(F.regexp_extract_all("sentence", F.lit(rf"[{WORD}]+"), 0)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"[{WORD}]+"), 0))
+    met = (
+        df.select(row_id, F.explode(words).alias("word"))
+        .join(hint_if_small(anchored), "word")
+        .groupBy(row_id).agg(F.collect_set("phrase").alias("_met"))
     )
-    hits = (
-        by_word.join(hint_if_small(anchored), "word")
-        .where(F.contains("sentence", "phrase"))
-        .groupBy(row_id).agg(F.collect_set("at").alias("_at"))
-    )
-
-    def listed_short(s):
-        return F.exists(F.array(*[F.lit(p) for p in short]), lambda p: F.contains(F.lower(s), p))
+    listed_short = F.array(*[F.lit(p) for p in short]) if short else F.array().cast("array<string>")
+    searched = F.concat(F.coalesce("_met", F.array().cast("array<string>")), listed_short)
 
-    def keep(s, i):
-        hit = F.coalesce(F.array_contains("_at", i), F.lit(False))
-        return ~(hit | listed_short(s)) if short else ~hit
+    def hit(_, low_sentence):
+        return F.exists("_searched", lambda p: F.contains(low_sentence, p))
 
     return (
-        df.join(hits, row_id, "left")
-        .withColumn(name or text, F.array_join(F.filter(split_sentences(F.col(text)), keep), " "))
-        .drop("_at")
+        df.join(met, row_id, "left")
+        .withColumn("_searched", searched)
+        .withColumn(name or text, drop_sentences(F.col(text), hit))
+        .drop("_met", "_searched")
     )

@@ -13,7 +13,8 @@ LABEL_TEXT = {1: "Complaint", 0: "Non-Complaint"}
 
 
 def nonempty(df: DataFrame, column: str = "email") -> DataFrame:
-    return df.where(F.col(column).isNotNull() & (F.length(column) > 0))
+    # A null length is not > 0 either; the column is evaluated once.
+    return df.where(F.length(column) > 0)
 
 
 def in_state(df: DataFrame, state: str = "closed") -> DataFrame:

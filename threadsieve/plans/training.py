@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from threadsieve.functions import text as tx
 from threadsieve.operators import evaluation, rows, tfidf, trees
-from threadsieve.session import scratch_path
+from threadsieve.session import scratch_path, store
 from threadsieve.sources import writers
 
 KEYS = ["snapshot_id", "thread_id", "time", "data_type"]
@@ -65,7 +65,10 @@ def score_messages(df: DataFrame, model: PipelineModel, threshold: float) -> Dat
 
 
 def daily_batch(df: DataFrame, model: PipelineModel, threshold: float) -> DataFrame:
-    """Batch scoring in which empty messages bypass the model."""
-    cleaned = df.withColumn("preprocessed_email", tx.clean(tx.normalise_quotes(F.col("email"))))
+    """Batch scoring in which empty messages bypass the model.
+
+    Both routes read the cleaned texts, so these are stored once.
+    """
+    cleaned = store(df.withColumn("preprocessed_email", tx.clean(tx.normalise_quotes(F.col("email")))), "cleaned")
     routed = rows.route_empty(cleaned, lambda part: trees.score(model, part))
     return rows.apply_threshold(routed, trees.PROB, threshold)
