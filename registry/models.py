@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from registry import query
-from registry.views import TEST_MONTH, emails
+from registry.text import _HIT, cleaned, sentence_list
+from registry.views import EMAILS, TARGET, TARGET_WIDE, TEST_MONTH, emails
 from threadsieve.operators import evaluation, tfidf, trees
 from threadsieve.plans import corpus, training
 from threadsieve.session import scratch_path, store
@@ -29,10 +30,36 @@ def _bundle(spark, d):
     return writers.load_bundle(spark, path)
 
 
-@query("prepare_corpus")
+_DIGEST = "md5(CAST(snapshot_id AS VARCHAR))"
+_SLOT = "('0x' || substr(md5('101:' || CAST(draw AS VARCHAR)), 1, 15))::BIGINT"
+CORPUS = f"""WITH {EMAILS},
+kept AS (SELECT * FROM emails WHERE length(email) > 0 AND state = 'closed'
+  AND time BETWEEN TIMESTAMP '2022-08-01 00:00:00' AND TIMESTAMP '2023-09-30 00:00:00'),
+one AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY is_complaint DESC NULLS LAST, time DESC, snapshot_id) = 1),
+lab AS (SELECT snapshot_id, time, email, CASE WHEN time < DATE '2023-08-01' THEN 'train' ELSE 'test' END AS kind,
+  CASE WHEN time < DATE '2023-08-01' THEN {TARGET_WIDE} ELSE {TARGET} END AS target FROM one WHERE time < DATE '2023-09-01'),
+newest AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY time DESC, {_DIGEST}) AS r, count(*) OVER (PARTITION BY target) AS n FROM lab WHERE kind = 'train'),
+split AS (SELECT snapshot_id, email, target, CASE WHEN r <= floor(0.2::DOUBLE * n) THEN 'val' ELSE 'train' END AS data_type FROM newest),
+num AS (SELECT *, row_number() OVER (PARTITION BY data_type, target ORDER BY {_DIGEST}, snapshot_id) AS pos, count(*) OVER (PARTITION BY data_type, target) AS n FROM split),
+draws AS (SELECT data_type, unnest(range(0, n * 5)) AS draw FROM (SELECT DISTINCT data_type, n FROM num WHERE target = 1)),
+final AS (SELECT snapshot_id, email, target, data_type, NULL::BIGINT AS draw FROM num WHERE target = 1
+  UNION ALL SELECT n.snapshot_id, n.email, n.target, n.data_type, s.draw FROM draws s JOIN num n ON n.data_type = s.data_type AND n.target = 0 AND n.pos = {_SLOT} % n.n + 1
+  UNION ALL SELECT snapshot_id, email, target, 'test', NULL FROM lab WHERE kind = 'test'),
+lines AS (SELECT snapshot_id, unnest(string_split(q, chr(10))) AS p, generate_subscripts(string_split(q, chr(10)), 1) AS i
+  FROM (SELECT snapshot_id, replace(replace(email, '`', chr(39)), '’', chr(39)) AS q FROM lab)),
+joined AS (SELECT snapshot_id, string_agg(p, chr(10) ORDER BY i) AS t FROM (SELECT snapshot_id, p, min(i) AS i FROM lines GROUP BY ALL) GROUP BY snapshot_id),
+said AS (SELECT snapshot_id, array_to_string(list_filter({sentence_list('t')}, lambda s: NOT ({_HIT})), ' ') AS t FROM joined),
+texts AS (SELECT snapshot_id, {cleaned('t')} AS preprocessed_email FROM said)
+SELECT snapshot_id, data_type, target, draw, preprocessed_email FROM final JOIN texts USING (snapshot_id)"""
+
+
+@query("prepare_corpus", CORPUS)
 def prepare_corpus(spark, d):
-    balanced = corpus.balance(_corpus(spark, d), 5)
-    return balanced.select("snapshot_id", "data_type", "target", "draw", "preprocessed_email")
+    messages = corpus.select_messages(emails(spark, d, heavy=True), START, END, dedup="target")
+    # Balance first: texts that are not drawn need no cleaning.
+    balanced = corpus.balance(corpus.split_and_label(messages, TEST_MONTH), 5)
+    cleaned_texts = corpus.clean_texts(balanced, separator="\n")
+    return cleaned_texts.select("snapshot_id", "data_type", "target", "draw", "preprocessed_email")
 
 
 @query("train_gbt")
