@@ -160,9 +160,13 @@ def areas(points: DataFrame, by: list[str]) -> DataFrame:
 def roc_pr_curve(df: DataFrame, prob: str = "prob", target: str = "target", by: list[str] | None = None) -> DataFrame:
     """threshold, tp, fp, precision and recall per distinct score."""
     points = curve_points(df, prob, target, by)
-    keys = list(by) if by else [_ALL]
-    totals = points.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    return points.join(F.broadcast(totals), keys).select(
+    totals = [F.sum("pos").alias("_p"), F.sum("neg").alias("_n")]
+    if by:
+        # One row per group.
+        known = points.join(F.broadcast(points.groupBy(*by).agg(*totals)), by)
+    else:
+        known = points.withColumn("_t", points.select(F.struct(*totals).alias("t")).scalar()).select("*", "_t.*")
+    return known.select(
         *(by or []), "threshold", "tp", "fp",
         _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         _ratio(F.col("tp"), F.col("_p")).alias("recall"),
@@ -204,7 +208,11 @@ def evaluate(
     rows, keys = _grouped(df, by)
     named = counts_above(F.col(target), F.col(prob) > limit)
     counts = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in named.items()]).withColumns(rates())
-    return counts.join(areas(curve_points(df, prob, target, by), keys), keys).drop(_ALL)
+    under = areas(curve_points(df, prob, target, by), keys)
+    if by:
+        return counts.join(under, keys)
+    both = under.select(F.struct("roc_auc", "pr_auc").alias("a")).scalar()
+    return counts.withColumn("_a", both).select(*[c for c in counts.columns if c != _ALL], "_a.*")
 
 
 def evaluate_at(
@@ -222,7 +230,8 @@ def evaluate_at(
         F.sort_array(F.collect_set("threshold")).alias("_ts")
     )
     below = F.size(F.filter("_ts", lambda t: t < F.col(prob)))
-    gaps = df.join(F.broadcast(listed), keys).groupBy(*keys, "_ts", below.alias("_gap")).agg(
+    placed = df.join(F.broadcast(listed), keys) if by else df.withColumn("_ts", listed.select("_ts").scalar())
+    gaps = placed.groupBy(*keys, "_ts", below.alias("_gap")).agg(
         F.count_if(F.col(target) == 1).alias("_pos"), F.count_if(F.col(target) == 0).alias("_neg")
     )
     above = F.col("_gap") > F.col("_q")
@@ -331,20 +340,20 @@ def _top_shares(df: DataFrame, shares: list[float], prob: str, target: str, row_
     wanted = sized.where(F.col("top_n") > 0).groupBy(_ALL).agg(F.collect_set("top_n").alias("ks"))
     cuts = rank_cuts(
         rows, wanted, [_ALL], ["_l1", "_l2", "_l3", "_l4"], ["_digest"], ["_s", "_digest"]
-    ).groupBy(_ALL).agg(F.sort_array(F.collect_list(F.struct("rank", "_s", "_digest"))).alias("_cuts"))
+    ).select(F.sort_array(F.collect_list(F.struct("rank", "_s", "_digest"))).alias("c")).scalar()
 
     def outside(c: Column) -> Column:
         return (F.col("_s") < c["_s"]) | ((F.col("_s") == c["_s"]) & (F.col("_digest") > c["_digest"]))
 
-    bands = rows.join(F.broadcast(cuts), _ALL).groupBy(
-        _ALL, "_cuts", F.size(F.filter("_cuts", outside)).alias("_band")
+    bands = rows.withColumn("_cuts", cuts).groupBy(
+        "_cuts", F.size(F.filter("_cuts", outside)).alias("_band")
     ).agg(F.sum("_t").alias("_pos"))
     hits = (
-        bands.select(_ALL, "_band", "_pos", F.posexplode("_cuts").alias("_q", "_cut"))
-        .groupBy(_ALL, F.col("_cut.rank").alias("top_n"))
+        bands.select("_band", "_pos", F.posexplode("_cuts").alias("_q", "_cut"))
+        .groupBy(F.col("_cut.rank").alias("top_n"))
         .agg(F.sum(F.when(F.col("_band") <= F.col("_q"), F.col("_pos")).otherwise(0)).alias("hits"))
     )
-    return sized.join(hits, [_ALL, "top_n"], "left").select(
+    return sized.join(hits, ["top_n"], "left").select(
         "share", F.concat(F.floor(F.col("share") * 100).cast("string"), F.lit("%")).alias("top"),
         "n", "positives", "top_n", F.coalesce("hits", F.lit(0)).alias("hits"),
     )

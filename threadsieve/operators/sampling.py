@@ -22,12 +22,11 @@ def _numbered(df: DataFrame, target: str, row_id: str) -> DataFrame:
 def _with_draws(df: DataFrame, numbered: DataFrame, draws: DataFrame, seed: int, target: str, row_id: str) -> DataFrame:
     """Resolve draw numbers to negatives and fetch the wide rows in one join."""
     negatives = numbered.where(F.col(target) == 0)
-    size = negatives.groupBy(target).agg(F.count("*").alias("_size"))
-    slot = F.pmod(seeded_long(F.col("draw"), seed), F.col("_size")) + 1
+    size = negatives.select(F.count("*").alias("n")).scalar()
+    # Without negatives the slot is null and no draw finds a row.
+    slot = F.pmod(seeded_long(F.col("draw"), seed), F.nullif(size, F.lit(0))) + 1
     picked = (
-        draws.withColumn(target, F.lit(0))
-        .join(F.broadcast(size), target)
-        .select(slot.alias("position"), "draw")
+        draws.select(slot.alias("position"), "draw")
         .join(negatives.select("position", row_id), "position")
         .select(row_id, "draw")
     )
@@ -72,13 +71,8 @@ def sample_prevalence(
     ).select("_all", F.array(F.least("_n", F.col("_pos") * (1 + ratio))).alias("ks"))
     cut = rank_cuts(
         rows, wanted, ["_all"], ["_l1"], ["_digest"], ["_digest"]
-    ).select("_all", F.col("_digest").alias("_last"))
-    return (
-        df.withColumn("_all", F.lit(0))
-        .join(F.broadcast(cut), "_all")
-        .where(digest(F.col(row_id), seed) <= F.col("_last"))
-        .select(*df.columns)
-    )
+    ).select("_digest").scalar()
+    return df.where(digest(F.col(row_id), seed) <= cut)
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 101, row_id: str = "snapshot_id") -> DataFrame:

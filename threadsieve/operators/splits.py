@@ -111,16 +111,13 @@ def shard(df: DataFrame, n: int, time: str = "time", row_id: str = "snapshot_id"
         rows, wanted, ["_all"], ["_l1", "_l2", "_l3", "_l4"], ["_digest"], ["_time", "_digest"]
     )
     # The n last rows of the shards, as one small array.
-    bounds = cuts.groupBy("_all").agg(
-        F.sort_array(F.collect_list(F.struct("_time", "_digest"))).alias("_ends")
-    )
+    bounds = cuts.select(F.sort_array(F.collect_list(F.struct("_time", "_digest"))).alias("e")).scalar()
 
     def behind(c: Column) -> Column:
         return (c["_time"] < F.col(time)) | ((c["_time"] == F.col(time)) & (c["_digest"] < F.col("_d")))
 
     return (
-        df.withColumns({"_all": F.lit(0), "_d": digest(F.col(row_id))})
-        .join(F.broadcast(bounds), "_all")
+        df.withColumns({"_ends": bounds, "_d": digest(F.col(row_id))})
         .withColumn("shard", F.size(F.filter("_ends", behind)))
         .select(*df.columns, "shard")
     )
