@@ -51,8 +51,8 @@ def test_white_space_is_that_of_python(spark):
     assert apply(spark, values, tx.word_count) == [len(v.split()) for v in values]
 
 
-def reference_rewrite(text):
-    """The rules one after another, by the Python engine."""
+def python_rewrite(text):
+    """The cleaning rules (fixed values) one after another, by the Python engine."""
     t = text.lower()
     for p in (r"<[^>]*>", "_x000d_", "‌\xa0+", r"[^A-Za-z\s\d+/.:\-,;?'\"%$]"):
         t = re.sub(p, "", t)
@@ -69,12 +69,12 @@ ALPHABET = st.text(alphabet="abcdefgXYZ0123456789 .,:/-'<>_()@é`\t\n\xa0‌", m
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(ALPHABET, min_size=40, max_size=60))
 def test_rewrite_equals_python_rules(spark, values):
-    assert apply(spark, values, tx.rewrite) == [reference_rewrite(v) for v in values]
+    assert apply(spark, values, tx.rewrite) == [python_rewrite(v) for v in values]
 
 
 def test_rewrite_of_documents_equals_python_rules(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("text", tx.rewrite(F.col("text")).alias("x")).collect()
-    assert [r.x for r in rows] == [reference_rewrite(r.text) for r in rows]
+    assert [r.x for r in rows] == [python_rewrite(r.text) for r in rows]
 
 
 def test_long_runs_do_not_overflow(spark):

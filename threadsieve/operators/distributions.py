@@ -15,11 +15,10 @@ def distribution(df: DataFrame, column: str, within: list[str] | None = None) ->
     or within the groups of ``within``."""
     within = within or []
     counts = df.groupBy(*within, column).agg(F.count("*").alias("count"))
-    totals = counts.groupBy(*within).agg(F.sum("count").alias("_total"))
     if not within:
-        total = totals.select("_total").scalar()
+        total = counts.select(F.sum("count").alias("n")).scalar()
         return counts.withColumn("percentage", F.col("count") / total)
-    # The count per group is tiny next to the rows; share by a window over it.
+    # The counts are few next to the rows; share by a window over them.
     w = Window.partitionBy(*within)
     return counts.withColumn("percentage", F.col("count") / F.sum("count").over(w))
 
