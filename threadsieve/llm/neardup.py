@@ -8,9 +8,12 @@ in a whole band share its bucket.
 
 Texts of equal sets are one node, so exact copies never meet each other in a bucket. A bucket gives the
 edges of a star: each member with the centre, the member that sits in the fullest buckets overall. Centres are compared
-with members on their full sets. Members that are then still in different components go on with further
-centres, twice as many each round and without the old ones, until no two members of a bucket in
-different components are left uncompared. So stars bound the pairs where copies are many, and no candidate of a bucket is lost.
+with members on their full sets, which also yields how each member differs from its centre: the shingles added and
+those missing. Two members that share none of these differences are no more similar than the less similar of them is
+to the centre. So a link that the star does not show, between a member that failed and any other, needs
+differences in common, and how many follows from the sizes. The rarest of them (a prefix, as in set joins) make the
+buckets of the next round, in which only members of different components stay. Stars thus
+bound the pairs where copies are many, and no candidate pair of a bucket is lost.
 At the threshold a pair misses all of its buckets with probability ``(1 - t ** ROWS) ** BANDS``, 3e-7 at 0.85.
 """
 
@@ -88,90 +91,105 @@ def sketches(docs: DataFrame) -> DataFrame:
         _sketch, "doc_id long, _text long, n_shingles long, _node long, _bands array<long>")
 
 
-def _similar(percent: int):
+_MISSING = np.uint64(0xA5A5A5A5A5A5A5A5)
+
+
+def _compare(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, center_set = None, None
         for batch in batches:
             ids = batch.column("a").to_numpy()
-            keep = np.zeros(len(ids), bool)
             texts = batch.column("text_a")
             for piece in pieces(batch.column("text_b")):
                 h, bounds = shingle_sets(piece, WORDS)
+                linked, changes = [], []
                 for i in range(len(piece)):
                     at = piece.first + i
                     if ids[at] != centre:
                         centre = ids[at]
                         center_set = shingle_sets(next(pieces(texts.slice(at, 1))), WORDS)[0]
                     own = h[bounds[i] : bounds[i + 1]]
-                    small, large = (own, center_set) if len(own) < len(center_set) else (center_set, own)
-                    place = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    common = int((large[place] == small).sum())
-                    keep[at] = 100 * common >= percent * (len(own) + len(center_set) - common)
-            some = pa.array(keep)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").filter(some), batch.column("b").filter(some)], names=["a", "b"])
+                    place = np.minimum(np.searchsorted(center_set, own), len(center_set) - 1)
+                    common = center_set[place] == own
+                    missing = np.ones(len(center_set), bool)
+                    missing[place[common]] = False
+                    n = int(common.sum())
+                    linked.append(100 * n >= percent * (len(own) + len(center_set) - n))
+                    changes.append(np.concatenate([own[~common], center_set[missing] ^ _MISSING]))
+                offsets = np.zeros(len(piece) + 1, np.int32)
+                np.cumsum([len(c) for c in changes], out=offsets[1:])
+                pair = batch.slice(piece.first, len(piece))
+                yield pa.RecordBatch.from_arrays([
+                    pair.column("a"), pair.column("b"), pa.array(linked), pa.array(np.diff(bounds).astype(np.int64)),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(changes).view(np.int64))),
+                ], names=["a", "b", "linked", "n", "changes"])
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full shingle sets reach the similarity.
+def compare(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``a, b, linked, n, changes``: pairs on their full shingle sets, the size of b's set and its differences from a's.
 
-    A text travels to its pair as a text, which takes less room than its hashes. Rows of one centre are sorted together, so that
-    its set is made once per task.
+    A text travels to its pair as a text, which takes less room than its hashes. Rows of one centre are sorted together, so
+    that its set is made once per task.
     """
     sides = texts.select(F.col("_node").alias("b"), F.col("text").alias("text_b"))
     centres = texts.select(F.col("_node").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(sides, "b").join(centres, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_similar(percent), "a long, b long")
+    return both.mapInArrow(_compare(percent), "a long, b long, linked boolean, n long, changes array<long>")
+
+
+def _next_buckets(checked: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """``bucket, _node, pull``: members of a star that may be linked with each other though not over its centre.
+
+    A pair of similarity t differs in at most ``slack = n * (1 - t) / t`` shingles. With k and l differences from the centre it
+    shares at least ``(k + l - slack) / 2`` of them; l is at least the least of the star, or of its failed members
+    when the pair's own side is linked.
+    """
+    root = roots.select(F.col("node").alias("b"), "root")
+    rows = checked.join(root, "b", "left").withColumn("root", F.coalesce("root", "b")).withColumn("k", F.size("changes").cast("long"))
+    free = F.min(F.when(~F.col("linked"), F.col("k")))
+    stars = rows.groupBy("a").agg(
+        F.min("k").alias("least"), free.alias("free"), F.min("root").alias("lo"), F.max("root").alias("hi"),
+    ).where("free is not null and lo <> hi").select("a", "least", "free")
+    slack = F.floor(F.col("n") * (100 - percent) / percent)
+    other = F.greatest(F.when(F.col("linked"), F.col("free")).otherwise(F.col("least")), F.col("k") - slack)
+    common = F.greatest(F.lit(1), F.ceil((F.col("k") + other - slack) / 2))
+    rows = rows.join(stars, "a").withColumn("prefix", F.col("k") - common + 1).where("prefix > 0")
+    each = rows.select("a", "b", "linked", "root", "k", "prefix", F.explode("changes").alias("f"))
+    each = each.withColumn("key", F.xxhash64("a", "f"))
+    counts = each.groupBy("key").agg(F.count("*").alias("among"))
+    rare = Window.partitionBy("a", "b").orderBy("among", "f")
+    first = each.join(counts, "key").withColumn("_rn", F.row_number().over(rare)).where("_rn <= prefix and among > 1")
+    meet = first.groupBy("key").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(~F.col("linked")).alias("failed")).where("failed and lo <> hi")
+    return first.join(meet.select("key"), "key").select(F.col("key").alias("bucket"), F.col("b").alias("_node"), (-F.col("k")).alias("pull"))
 
 
 def _links(nodes: DataFrame, texts_of, percent: int) -> DataFrame:
     """``node, root`` of all nodes that have a confirmed link."""
-    spark = nodes.sparkSession
-    rows = nodes.select("_node", "n_shingles", F.explode("_bands").alias("bucket"))
+    rows = nodes.select("_node", F.explode("_bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     live = store(rows.join(shared, "bucket"), "buckets")
     texts = store(texts_of(live.select("_node").distinct()), "texts")
     fullness = live.groupBy("_node").agg(F.sum("n").alias("pull"))
-    live = store(live.join(fullness, "_node").select(
-        "bucket", "_node", "n_shingles", F.struct(F.col("pull"), F.col("_node").alias("_c"), F.col("n_shingles").alias("_s")).alias("pull")), "buckets")
-    roots, edges, tested, centres = None, None, None, 1
+    live = live.join(fullness, "_node").select("bucket", "_node", "pull")
+    edges = None
     while True:
-        if centres == 1:
-            chosen = live.groupBy("bucket").agg(F.max("pull").alias("centre"))
-        else:
-            order = Window.partitionBy("bucket").orderBy(F.desc("pull"))
-            chosen = live.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= centres).select("bucket", F.col("pull").alias("centre"))
-        pairs = live.join(chosen, "bucket").where("centre._c <> _node")
-        if roots is not None:
-            one = roots.select(F.col("node").alias("_node"), "root")
-            two = roots.select(F.col("node").alias("_other"), F.col("root").alias("_root"))
-            pairs = pairs.withColumn("_other", F.col("centre._c")).join(one, "_node", "left").join(two, "_other", "left").where(
-                "coalesce(root, _node) <> coalesce(_root, _other)")
-        # the sizes alone rule a pair out when even the smaller set inside the larger would not do
-        pairs = pairs.where(100 * F.least("n_shingles", "centre._s") >= percent * F.greatest("n_shingles", "centre._s"))
-        pairs = pairs.select(F.col("centre._c").alias("a"), F.col("_node").alias("b"))
-        ordered = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b")
-        ordered = ordered.groupBy("x", "y").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("b").alias("_b"))
-        pairs = ordered.select("x", "y", "a", F.when(F.col("a") == F.col("b"), F.col("_b")).otherwise(F.col("b")).alias("b"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        pairs = store(pairs, "pairs")
-        found = store(confirm(pairs.select("a", "b"), texts, percent), "links")
-        pairs = pairs.select("x", "y")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        live = store(live, "buckets")
+        if edges is not None and live.isEmpty():
+            return roots
+        chosen = live.groupBy("bucket").agg(F.max(F.struct("pull", "_node")).alias("centre"))
+        pairs = live.join(chosen, "bucket").select(F.col("centre._node").alias("a"), F.col("_node").alias("b"))
+        checked = store(compare(pairs.where("a <> b").distinct(), texts, percent), "checked")
+        found = checked.where("linked").select("a", "b")
+        if edges is not None:
+            one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+            found = found.join(one, "a", "left").join(two, "b", "left").where(
+                "coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
         if edges is None or not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            roots = components(edges)
+            roots = components(found if edges is None else edges.unionByName(found))
             edges = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a <> b")
-        # members that were no centre yet, in buckets where they still lie in different components
-        rest = live.join(chosen.select("bucket", F.col("centre._c").alias("_node")), ["bucket", "_node"], "left_anti")
-        rest = rest.join(roots.select(F.col("node").alias("_node"), "root"), "_node", "left").withColumn("root", F.coalesce("root", "_node"))
-        open_ = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        live = store(rest.join(open_, "bucket").select("bucket", "_node", "n_shingles", "pull"), "buckets")
-        if live.isEmpty():
-            return roots
-        centres *= 2
+        live = _next_buckets(checked, roots, percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
