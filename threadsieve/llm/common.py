@@ -46,3 +46,18 @@ def expand(classes: DataFrame, count: str, number: str) -> DataFrame:
     low = F.col("_chunk") * COPIES_AT_ONCE
     high = F.least(F.col(count), low + COPIES_AT_ONCE) - 1
     return few.unionByName(many).withColumn(number, F.explode(F.sequence(low, high))).drop("_chunk")
+
+
+def row_digest(df: DataFrame) -> Column:
+    """64-bit digest of all columns of a row, maps apart."""
+    return digest(*[F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() != "map"])
+
+
+def one_row_each(df: DataFrame) -> DataFrame:
+    """``row, _id, _digest``: one of each set of identical rows, to be joined with what was decided for them."""
+    keyed = df.select(whole(df).alias("row"), F.col("doc_id").cast("long").alias("_id"), row_digest(df).alias("_digest"))
+    return keyed.dropDuplicates(["_id", "_digest"])
+
+
+def same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
