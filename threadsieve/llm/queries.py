@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadsieve.llm import chat, mixing, neardup, sharding
+from threadsieve.llm import chat, decontamination, langid, lines, mixing, neardup, quality, sharding, suffixes, toxicity
 from threadsieve.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read(spark, sf_dir, "documents"))
@@ -35,6 +40,30 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), 85).drop("_text")
 
 
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(langid.learnable(docs))).select(
+        "row.doc_id", (F.crc32(F.col("row.doc_id").cast("string")) % 4 == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    known = docs.where(fold != 1).join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    return toxicity.score(docs, toxicity.fit(known)).select(
+        "doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.transform("removed", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string")))
+    return lines.without_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", F.size("removed").cast("long").alias("n_removed"), F.array_join(spans, " ").alias("removed_spans"),
+        F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
 @query
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = "</s>[INST] ok [/INST]"
@@ -43,6 +72,18 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns))
 
 
+@query
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
+    return suffixes.without_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 # The escapes of a text: one more character for each backslash and each control string.
 SQL["op8_chat"] = r"""
 WITH t AS (
@@ -58,3 +99,18 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(text_chars + CASE WHEN role IS NOT DISTINCT FROM last THEN 7 ELSE 23 + role_chars END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id"""
+
+# Words of a line, A-Z lowered, joined by one blank, are its digest here.
+SQL["op7_lines"] = r"""
+WITH l AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS raw FROM documents),
+p AS (SELECT doc_id, line, raw,
+        CAST(coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+        list_filter(regexp_split_to_array(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS words FROM l),
+k AS (SELECT *, array_to_string(words, ' ') AS key, len(words) >= 5 AS unit FROM p),
+r AS (SELECT *, unit AND row_number() OVER (PARTITION BY unit, key ORDER BY doc_id, line) > 1 AS gone FROM k),
+a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed,
+        coalesce(string_agg(start || '-' || (start + length(raw)), ' ' ORDER BY line) FILTER (gone), '') AS removed_spans,
+        CASE WHEN count(*) FILTER (gone) = count(*) THEN '' ELSE string_agg(raw, chr(10) ORDER BY line) FILTER (NOT gone) END AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed_spans, '') AS removed_spans,
+  length(coalesce(kept, d.text)) AS kept_chars, md5(coalesce(kept, d.text)) AS kept_md5
+FROM documents d LEFT JOIN a USING (doc_id)"""
