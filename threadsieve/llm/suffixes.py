@@ -1,11 +1,14 @@
 """Repeated substrings by a column-wise collection Burrows-Wheeler transform with common prefixes.
 
-Which 400-byte strings start at two places? Every such string holds an anchor: the 16 bytes of least hash among its own, the
-first if equal. So each place belongs to the stretch of places with the same anchor, and equal strings
+Which 400-byte strings start at two places? Every such string holds an anchor: the 128 bytes of least hash among its own, the
+first if equal (long enough that few texts share one by chance). So each place belongs to the stretch of places with the same anchor, and equal strings
 lie in stretches of equal anchors. Stretches of equal content are counted in one aggregate; nothing more is needed for the bulk of all
-copies. Stretches that share an anchor but differ are the collection whose transform is built: each round
-inserts one symbol of every stretch, from the last to the first, into the transform and the array of common prefixes. Two
-neighbours with a common prefix of ``LENGTH`` are a repeat.
+copies. Stretches that share an anchor but differ are split into blocks of ``BLOCK`` places at fixed distances from the
+anchor. All strings of a block share a core, so only blocks of equal cores can hold equal strings, and of each such block
+only the ends around the core are left to compare, the core standing as one symbol. These short strings are the
+collection whose transform is built: each round inserts one symbol of every string, from the last to
+the first, into the transform and the array of common prefixes. Two neighbours with a common prefix of ``BLOCK``
+symbols are a repeat. A collection is bounded and its arrays are read from front to back once a round, so they lie in memory instead of files.
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ from threadsieve.llm.common import digest, spread
 from threadsieve.llm.words import mix, pieces
 from threadsieve.session import store
 
-LENGTH, GRAM = 400, 16
-# Bytes of stretches whose transform is built together, and stretches of one anchor from which on places are counted instead.
-COLLECTION_BYTES, MOST = 1 << 19, 20_000
+LENGTH, GRAM = 400, 128
+# Places in a block; symbols of strings whose transform is built together; strings of one core from which on places are counted instead.
+BLOCK, COLLECTION, MOST = 32, 1 << 17, 200_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -39,9 +42,9 @@ def _slide_least(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """``text, anchor hash, first place, last place`` of each stretch; places are offsets into ``data``."""
+    """``text, anchor hash, anchor, first place, last place`` of each stretch; places are offsets into ``data``."""
     if len(data) < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.int64))
     h, have = mix(data.astype(np.uint64) + np.uint64(1)), 1
     while have < GRAM:
         h = h[:-have] * np.uint64(pow(_BASE, have, 1 << 64)) + h[have:]
@@ -57,19 +60,20 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     new[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
-    return text[at[first]], h[least[first]], at[first], at[last]
+    return text[at[first]], h[least[first]], least[first], at[first], at[last]
 
 
 def _anchor(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch.column("text")):
-                text, anchor, first, last = stretches(piece.data, piece.offsets, length)
+                text, anchor, place, first, last = stretches(piece.data, piece.offsets, length)
                 own = [xxhash.xxh3_64_intdigest(piece.data[a : z + length]) for a, z in zip(first, last, strict=True)]
                 doc = batch.column("doc").slice(piece.first, len(piece)).take(pa.array(text))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(anchor.view(np.int64)), pa.array(np.array(own, np.uint64).view(np.int64)), doc,
-                    pa.array(first - piece.offsets[text]), pa.array((last - first).astype(np.int32))], names=["anchor", "stretch", "doc", "first", "more"])
+                    pa.array(first - piece.offsets[text]), pa.array((last - first).astype(np.int32)), pa.array((place - first).astype(np.int32)),
+                ], names=["anchor", "stretch", "doc", "first", "more", "lead"])
     return run
 
 
@@ -82,8 +86,8 @@ def transform(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     back once per round.
     """
     m, lengths = len(strings), np.array([len(s) for s in strings])
-    used, code = np.unique(np.concatenate([*strings, np.zeros(0, np.uint8)]), return_inverse=True)
-    code = (code + 1).astype(np.uint8 if len(used) < 255 else np.uint16)
+    used, code = np.unique(np.concatenate([*strings, np.zeros(0, np.int64)]), return_inverse=True)
+    code = (code + 1).astype(np.uint8 if len(used) < 255 else np.uint16 if len(used) < 65535 else np.uint32)
     ends = np.cumsum(lengths)
     bwt, lcp = np.zeros(m, code.dtype), np.zeros(m + 1, np.uint16)
     position, rounds = np.arange(m), int(lengths.max(initial=0))
@@ -136,21 +140,27 @@ def repeated_places(strings: list[np.ndarray], length: int) -> list[np.ndarray]:
     return [flags[i, : max(0, n - length + 1)] for i, n in enumerate(lengths)]
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece in pieces(batch.column("text")):
-            wanted = batch.column("wanted").slice(piece.first, len(piece))
-            out = {k: [] for k in ("anchor", "stretch", "doc", "first", "bytes")}
-            docs = batch.column("doc").slice(piece.first, len(piece)).to_pylist()
-            for i, parts in enumerate(wanted.to_pylist()):
+def _cut(length: int):
+    core = length - BLOCK + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "wanted")), strict=True):
+                data = text.encode()
                 for p in parts:
-                    a = int(piece.offsets[i]) + p["first"]
-                    for k in ("anchor", "stretch", "first"):
-                        out[k].append(p[k])
-                    out["doc"].append(docs[i])
-                    out["bytes"].append(piece.data[a : a + p["more"] + length].tobytes())
+                    anchor = p["first"] + p["lead"]
+                    # distances of the places from the anchor, block by block
+                    for b in range((p["lead"] - p["more"]) // BLOCK, p["lead"] // BLOCK + 1):
+                        a = anchor - min(p["lead"], b * BLOCK + BLOCK - 1)
+                        z = anchor - max(p["lead"] - p["more"], b * BLOCK)
+                        middle = anchor - b * BLOCK
+                        key = xxhash.xxh3_128_digest(b"%d %d " % (p["anchor"], b) + data[middle : middle + core])
+                        out.append((key, doc, a, data[a:middle], data[middle + core : z + length]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[k], pa.binary() if k == "bytes" else pa.int64()) for k in out], names=list(out))
+                [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
+                names=["key", "doc", "first", "left", "right"])
+    return run
 
 
 def _runs(flags: np.ndarray, first: int, length: int) -> list[tuple[int, int]]:
@@ -160,61 +170,61 @@ def _runs(flags: np.ndarray, first: int, length: int) -> list[tuple[int, int]]:
 
 def _build(length: int):
     def spans(rows: list[tuple]) -> pa.RecordBatch:
-        found = repeated_places([np.frombuffer(r[3], np.uint8) for r in rows], length)
-        out = [(r[1], *run) for r, flags in zip(rows, found, strict=True) for run in _runs(flags, r[2], length)]
+        cores = {key: 256 + i for i, key in enumerate(dict.fromkeys(r[0] for r in rows))}
+        strings = [np.concatenate([np.frombuffer(left, np.uint8), [cores[key]], np.frombuffer(right, np.uint8)]) for key, _, _, left, right in rows]
+        out = [(r[1], *run) for r, flags in zip(rows, repeated_places(strings, BLOCK), strict=True) for run in _runs(flags, r[2], length)]
         return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], names=["doc", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by anchor; a collection ends between two anchors
+        # rows come sorted by core; a collection ends between two cores
         rows, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "first", "bytes")), strict=True):
-                if size >= COLLECTION_BYTES and row[0] != rows[-1][0]:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "first", "left", "right")), strict=True):
+                if size >= COLLECTION and row[0] != rows[-1][0]:
                     yield spans(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[3])
+                size += len(row[3]) + len(row[4]) + 1
         if rows:
             yield spans(rows)
     return run
 
 
-def _places(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, first, data in zip(*(batch.column(c).to_pylist() for c in ("doc", "first", "bytes")), strict=True):
-                keys = [xxhash.xxh3_128_digest(data[i : i + length]) for i in range(len(data) - length + 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()), pa.array([doc] * len(keys), pa.int64()), pa.array(range(first, first + len(keys)), pa.int64())],
-                    names=["key", "doc", "place"])
-    return run
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for key, doc, first, left, right in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "first", "left", "right")), strict=True):
+            for i in range(len(left) + len(right) + 2 - BLOCK):
+                out.append((xxhash.xxh3_128_digest(key + left[i:] + b"|" + right[: i + BLOCK - 1 - len(left)]), doc, first + i))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], names=["place", "doc", "start"])
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc, start, end``: byte spans that strings of ``length`` bytes cover which also start elsewhere; spans may overlap.
 
     ``doc`` is the digest of id and text. Stretches of equal content are aggregated before anything is gathered, so a passage in a third of
-    all documents is one row per stretch. Differing stretches of one anchor go to one task as a collection up to ``MOST``
+    all documents is one row per stretch. Strings of one core go to one task as a collection up to ``MOST``
     of them; beyond that their places are counted one by one over all tasks, with the same result.
     """
     rows = spread(docs.select(digest(F.col("doc_id").cast("long"), "text").alias("doc"), "text"))
-    found = store(rows.mapInArrow(_anchor(length), "anchor long, stretch long, doc long, first long, more int"), "stretches")
-    kinds = found.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first", "more")).alias("at"))
-    own = Window.partitionBy("anchor")
-    live = store(kinds.withColumn("kinds", F.count("*").over(own)).where("n > 1 or kinds > 1"), "live")
+    found = store(rows.mapInArrow(_anchor(length), "anchor long, stretch long, doc long, first long, more int, lead int"), "stretches")
+    kinds = found.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first", "more", "lead")).alias("at"))
+    live = store(kinds.withColumn("kinds", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1 or kinds > 1"), "live")
     copies = found.join(live.where("n > 1").select("anchor", "stretch"), ["anchor", "stretch"]).select(
         "doc", F.col("first").alias("start"), (F.col("first") + F.col("more") + length).alias("end"))
-    wanted = live.where("kinds > 1").select("at.doc", F.struct("anchor", "stretch", "at.first", "at.more").alias("w"), "kinds")
-    hot = live.where(f"kinds > {MOST}").select(F.col("anchor").alias("hot")).distinct()
-    lists = wanted.groupBy("doc").agg(F.collect_list("w").alias("wanted"))
+    lists = live.where("kinds > 1").select("at.doc", F.struct("anchor", "at.first", "at.more", "at.lead").alias("w")).groupBy("doc").agg(
+        F.collect_list("w").alias("wanted"))
     texts = rows.join(lists, "doc")
-    cut = store(texts.mapInArrow(lambda b: _cut(b, length), "anchor long, stretch long, doc long, first long, bytes binary"), "collection")
-    few = cut.join(hot, cut.anchor == hot.hot, "left_anti").repartition("anchor").sortWithinPartitions("anchor", "stretch")
-    spans = few.mapInArrow(_build(length), "doc long, start long, `end` long").unionByName(copies)
-    if not hot.isEmpty():
-        places = cut.join(hot, cut.anchor == hot.hot, "left_semi").mapInArrow(_places(length), "key binary, doc long, place long")
-        again = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        spans = spans.unionByName(places.join(again, "key").select("doc", F.col("place").alias("start"), (F.col("place") + length).alias("end")))
+    blocks = store(texts.mapInArrow(_cut(length), "key binary, doc long, first long, left binary, right binary"), "blocks")
+    shared = store(blocks.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "blocks")
+    few = shared.where(F.col("n") <= MOST).repartition("key").sortWithinPartitions("key", "doc", "first")
+    spans = few.drop("n").mapInArrow(_build(length), "doc long, start long, `end` long").unionByName(copies)
+    many = shared.where(F.col("n") > MOST)
+    if not many.isEmpty():
+        places = many.mapInArrow(_places, "place binary, doc long, start long")
+        again = places.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
+        spans = spans.unionByName(places.join(again, "place").select("doc", "start", (F.col("start") + length).alias("end")))
     return spans
 
 
