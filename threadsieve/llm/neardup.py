@@ -146,7 +146,9 @@ def _next_buckets(checked: DataFrame, roots: DataFrame, percent: int) -> DataFra
     when the pair's own side is linked.
     """
     root = roots.select(F.col("node").alias("b"), "root")
-    rows = checked.join(root, "b", "left").withColumn("root", F.coalesce("root", "b")).withColumn("k", F.size("changes").cast("long"))
+    failing = checked.groupBy("a").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("bad")).where("m > 1 and bad > 0").select("a")
+    rows = checked.join(failing, "a").join(root, "b", "left").withColumn("root", F.coalesce("root", "b")).withColumn("k", F.size("changes").cast("long"))
+    rows = store(rows, "members")
     free = F.min(F.when(~F.col("linked"), F.col("k")))
     stars = rows.groupBy("a").agg(
         F.min("k").alias("least"), free.alias("free"), F.min("root").alias("lo"), F.max("root").alias("hi"),
@@ -160,6 +162,7 @@ def _next_buckets(checked: DataFrame, roots: DataFrame, percent: int) -> DataFra
     counts = each.groupBy("key").agg(F.count("*").alias("among"))
     rare = Window.partitionBy("a", "b").orderBy("among", "f")
     first = each.join(counts, "key").withColumn("_rn", F.row_number().over(rare)).where("_rn <= prefix and among > 1")
+    first = store(first.select("key", "b", "root", "linked", "k"), "differences")
     meet = first.groupBy("key").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(~F.col("linked")).alias("failed")).where("failed and lo <> hi")
     return first.join(meet.select("key"), "key").select(F.col("key").alias("bucket"), F.col("b").alias("_node"), (-F.col("k")).alias("pull"))
