@@ -30,7 +30,7 @@ def _grid_value(i: Column, grid: tuple[float, float, int]) -> Column:
 
 
 def _grid_slot(score: Column, grid: tuple[float, float, int]) -> Column:
-    """Largest grid index whose value is <= score (-1 below the grid).
+    """Largest grid index whose value is <= score (-1 below the grid and for a null score).
 
     The quotient may miss by one in floating point, so it is corrected by
     comparing with the grid values themselves.
@@ -41,7 +41,8 @@ def _grid_slot(score: Column, grid: tuple[float, float, int]) -> Column:
         .when(_grid_value(guess, grid) > score, guess - 1)
         .otherwise(guess)
     )
-    return F.greatest(F.least(slot, F.lit(grid[2] - 1)), F.lit(-1)).cast("int")
+    # least and greatest skip nulls: a null score must not reach the top of the grid
+    return F.when(score.isNull(), -1).otherwise(F.greatest(F.least(slot, F.lit(grid[2] - 1)), F.lit(-1))).cast("int")
 
 
 def threshold_curve(
@@ -118,8 +119,8 @@ def curve_points(
     df: DataFrame, prob: str = "prob", target: str = "target", by: list[str] | None = None
 ) -> DataFrame:
     """Exact ROC and PR points: one row per distinct score, with the counts
-    standing at and before it (higher scores first)."""
-    df, by = _grouped(df, by)
+    standing at and before it (higher scores first). Rows without a score are no points."""
+    df, by = _grouped(df.where(F.col(prob).isNotNull()), by)
     high, low, exact = score_levels_desc(F.col(prob))
     counts = df.groupBy(*by, high.alias("_l1"), low.alias("_l2"), exact.alias("_o")).agg(
         F.count_if(F.col(target) == 1).alias("pos"), F.count_if(F.col(target) == 0).alias("neg")
@@ -363,7 +364,7 @@ def lift_gain(
     df: DataFrame, shares: list[float], prob: str = "prob", target: str = "target", row_id: str = "snapshot_id"
 ) -> DataFrame:
     """Positives found in the top share, against a random pick of that size."""
-    gain = F.col("hits") / (F.col("positives") * F.col("share"))
+    gain = F.try_divide(F.col("hits"), F.col("positives") * F.col("share"))
     return _top_shares(df, shares, prob, target, row_id).withColumn("gain", F.round(gain, 2))
 
 

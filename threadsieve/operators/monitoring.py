@@ -77,7 +77,7 @@ def workload_reduction(df: DataFrame, models: dict[str, Column], target: str = "
     """Share of the messages a model spares the reviewers."""
     return compare_models(df, models, target).select(
         "model", "n", (F.col("tp") + F.col("fp")).alias("predicted"),
-        (1 - (F.col("tp") + F.col("fp")) / F.col("n")).alias("reduction"),
+        (1 - F.try_divide(F.col("tp") + F.col("fp"), F.col("n"))).alias("reduction"),
     )
 
 

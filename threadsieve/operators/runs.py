@@ -27,7 +27,7 @@ def latency_summary(df: DataFrame, group: list[str], duration: str = "duration")
     """Items, total duration, throughput n/duration and latency duration/n."""
     return df.groupBy(*group).agg(
         F.count("*").alias("n"), F.sum(duration).alias("duration"),
-        (F.count("*") / F.sum(duration)).alias("throughput"),
+        F.try_divide(F.count("*"), F.sum(duration)).alias("throughput"),
         (F.sum(duration) / F.count("*")).alias("latency"),
     )
 

@@ -26,8 +26,8 @@ def read_extracts(
     files in splits.
     """
     if month is not None:
-        root = path if isinstance(path, str) else path[0]
-        path = f"{root.rstrip('/')}/email_data[_=]{month}*"
+        roots = [path] if isinstance(path, str) else path
+        path = [f"{root.rstrip('/')}/email_data[_=]{month}*" for root in roots]
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     df = (
         spark.read.schema(full)
@@ -35,7 +35,9 @@ def read_extracts(
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
-    return df.withColumn("month_token", F.regexp_extract(F.col("_metadata.file_path"), MONTH_TOKEN, 1))
+    df = df.withColumn("month_token", F.regexp_extract(F.col("_metadata.file_path"), MONTH_TOKEN, 1))
+    # the glob also meets longer tokens with the same beginning
+    return df if month is None else df.where(F.col("month_token") == month)
 
 
 def month_counts(df: DataFrame) -> DataFrame:
