@@ -328,10 +328,11 @@ def classification_report(df: DataFrame, target: str = "target", predicted: str
 
 
 def _top_shares(df: DataFrame, shares: list[float], prob: str, target: str, row_id: str) -> DataFrame:
-    """Rows and positives among the ``floor(n * p)`` highest scores, per share p."""
-    high, low, exact = score_levels_desc(F.col(prob))
+    """Rows and positives among the ``floor(n * p)`` highest scores, per share p. A null score ranks last."""
+    score = F.coalesce(F.col(prob), F.lit(-1.0))
+    high, low, exact = score_levels_desc(score)
     rows = df.select(
-        F.lit(0).alias(_ALL), F.col(prob).alias("_s"), F.col(target).alias("_t"),
+        F.lit(0).alias(_ALL), score.alias("_s"), F.col(target).alias("_t"),
         digest(F.col(row_id)).alias("_digest"), high.alias("_l1"), low.alias("_l2"), exact.alias("_l3"),
     ).withColumn("_l4", digest_level(F.col("_digest")))
     totals = rows.groupBy(_ALL).agg(F.count("*").alias("n"), F.sum("_t").alias("positives"))

@@ -40,6 +40,11 @@ def _share_per_class(rows: DataFrame, target: str, share: float) -> DataFrame:
     return size.select(target, F.array(k).alias("ks")).where(F.element_at("ks", 1) > 0)
 
 
+def _known_time(df: DataFrame, time: str) -> Column:
+    """The time, or a day before all others for a null: such rows rank as the oldest."""
+    return F.coalesce(F.col(time), F.lit("0002-01-01 00:00:00").cast(df.schema[time].dataType))
+
+
 def split_newest(
     df: DataFrame, share: float = 0.2, target: str = "target", time: str = "time",
     row_id: str = "snapshot_id",
@@ -50,17 +55,18 @@ def split_newest(
     up; the wide rows are then labelled in place, without a shuffle. Equal
     times are ordered by the digest of the id.
     """
-    d, sec, micro = time_levels_desc(F.col(time))
+    when = _known_time(df, time)
+    d, sec, micro = time_levels_desc(when)
     rows = df.select(
-        F.col(target), F.col(time).alias("_time"), digest(F.col(row_id)).alias("_digest"),
+        F.col(target), when.alias("_time"), digest(F.col(row_id)).alias("_digest"),
         d.alias("_l1"), sec.alias("_l2"), micro.alias("_l3"),
     ).withColumn("_l4", digest_level(F.col("_digest")))
     cuts = rank_cuts(
         rows, _share_per_class(rows, target, share), [target], ["_l1", "_l2", "_l3", "_l4"],
         ["_digest"], ["_time", "_digest"],
     ).drop("rank")
-    in_val = (F.col(time) > F.col("_time")) | (
-        (F.col(time) == F.col("_time")) & (digest(F.col(row_id)) <= F.col("_digest"))
+    in_val = (when > F.col("_time")) | (
+        (when == F.col("_time")) & (digest(F.col(row_id)) <= F.col("_digest"))
     )
     return (
         df.join(F.broadcast(cuts), target, "left")
@@ -98,9 +104,10 @@ def split_random(
 
 def shard(df: DataFrame, n: int, time: str = "time", row_id: str = "snapshot_id") -> DataFrame:
     """Contiguous shards 0..n-1 in time order; the first ``rows % n`` are one larger."""
-    d, sec, micro = time_levels_asc(F.col(time))
+    when = _known_time(df, time)
+    d, sec, micro = time_levels_asc(when)
     rows = df.select(
-        F.lit(0).alias("_all"), F.col(time).alias("_time"), digest(F.col(row_id)).alias("_digest"),
+        F.lit(0).alias("_all"), when.alias("_time"), digest(F.col(row_id)).alias("_digest"),
         d.alias("_l1"), sec.alias("_l2"), micro.alias("_l3"),
     ).withColumn("_l4", digest_level(F.col("_digest")))
     total = rows.groupBy("_all").agg(F.count("*").alias("_n"))
@@ -114,7 +121,7 @@ def shard(df: DataFrame, n: int, time: str = "time", row_id: str = "snapshot_id"
     bounds = cuts.select(F.sort_array(F.collect_list(F.struct("_time", "_digest"))).alias("e")).scalar()
 
     def behind(c: Column) -> Column:
-        return (c["_time"] < F.col(time)) | ((c["_time"] == F.col(time)) & (c["_digest"] < F.col("_d")))
+        return (c["_time"] < when) | ((c["_time"] == when) & (c["_digest"] < F.col("_d")))
 
     return (
         df.withColumns({"_ends": bounds, "_d": digest(F.col(row_id))})
