@@ -105,7 +105,7 @@ SQL["op7_lines"] = r"""
 WITH l AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS raw FROM documents),
 p AS (SELECT doc_id, line, raw,
         CAST(coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
-        list_filter(regexp_split_to_array(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS words FROM l),
+        list_filter(regexp_split_to_array(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM l),
 k AS (SELECT *, array_to_string(words, ' ') AS key, len(words) >= 5 AS unit FROM p),
 r AS (SELECT *, unit AND row_number() OVER (PARTITION BY unit, key ORDER BY doc_id, line) > 1 AS gone FROM k),
 a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed,
