@@ -90,7 +90,7 @@ def bundle_roundtrip(spark, d):
 @query("score_batch")
 def score_batch(spark, d):
     model, threshold = _bundle(spark, d)
-    scored = training.daily_batch(emails(spark, d, heavy=True), model, threshold or 0.5)
+    scored = training.daily_batch(emails(spark, d, heavy=True), model, threshold)
     return scored.select("snapshot_id", trees.PROB, "predicted_label", "pred_response")
 
 
@@ -100,7 +100,7 @@ def bundle_sanity(spark, d):
     test = trees.score(model, _corpus(spark, d).where("data_type = 'test'"))
     # The metrics read the scores several times; the texts are scored once.
     test = store(test.select("snapshot_id", "target", trees.PROB), "predictions")
-    return evaluation.evaluate(test, threshold or 0.5, trees.PROB)
+    return evaluation.evaluate(test, threshold, trees.PROB)
 
 
 def _punctuation_model():

@@ -105,9 +105,9 @@ def monitor_daily_errors(spark, d):
     return monitoring.daily_errors(_daily(spark, d), ["day"])
 
 
-@query("monitor_fp_reduction", f"""WITH {DAILY}, {ERRORS} SELECT e.day, e.model, e.fp, b.fp AS baseline_fp,
-CASE WHEN b.fp <> 0 THEN round((b.fp - e.fp) / b.fp * 100, 6) END AS reduction_pct FROM e
-JOIN e b ON b.day = e.day AND b.model = '{monitoring.BASELINE}' WHERE e.model <> '{monitoring.BASELINE}'""")
+@query("monitor_fp_reduction", f"""WITH {DAILY}, {ERRORS}, w AS (SELECT day, model, fp, max(CASE WHEN model = '{monitoring.BASELINE}' THEN fp END) OVER (PARTITION BY day) AS baseline_fp FROM e)
+SELECT day, model, fp, baseline_fp, CASE WHEN baseline_fp <> 0 THEN round((baseline_fp - fp) / baseline_fp * 100, 6) END AS reduction_pct
+FROM w WHERE model <> '{monitoring.BASELINE}'""")
 def monitor_fp_reduction(spark, d):
     errors = monitoring.daily_errors(_daily(spark, d), ["day"])
     return monitoring.false_positive_reduction(errors, ["day"]).select(

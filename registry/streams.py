@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from registry import query
 from registry.models import _bundle
+from registry.monitoring import LIMITS
 from registry.views import MODELS
 from threadsieve.schemas import TABLES
 from threadsieve.session import scratch_path
@@ -24,8 +28,8 @@ def finish(spark, df, purpose: str, partition: str | None = None) -> str:
     return f"{path}/data"
 
 
-def scored_stream(spark, d):
-    m, weight, div = MODELS["v0"]
+def scored_stream(spark, d, model: str = "v0"):
+    m, weight, div = MODELS[model]
     hit = F.when(F.col("event_type") == "error", 1).otherwise(0)
     base = ((F.col("event_id") * m) % 10007).cast("double") / 10007
     return stream(spark, d, "events").select(
@@ -48,7 +52,7 @@ def stream_score(spark, d):
         F.when(F.col("doc_id") % 7 == 0, "7").otherwise("u1234").alias("user_id"),
         F.concat(F.lit("r-"), F.col("doc_id").cast("string")).alias("request_id"),
     )
-    scored = scoring.score_requests(scoring.parse_requests(requests), model, threshold or 0.5)
+    scored = scoring.score_requests(scoring.parse_requests(requests), model, threshold)
     out = scored.select("request_id", "status", F.array_join("reasons", ",").alias("reasons"),
                         scoring.response_json(scored).alias("response"))
     path = finish(spark, out, "stream-score", "status")
@@ -56,16 +60,25 @@ def stream_score(spark, d):
 
 
 _HIT = "(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)"
-_PROB = f"((CAST((event_id * 7919) % 10007 AS DOUBLE) / 10007 + 0.3::DOUBLE * {_HIT}) / 1.3::DOUBLE)"
+_PREDICTED = " UNION ALL ".join(
+    f"""SELECT '{v}' AS model, strftime(ts, '%Y-%m-%d') AS day, {_HIT} AS target,
+  ((CAST((event_id * {m}) % 10007 AS DOUBLE) / 10007 + {weight}::DOUBLE * {_HIT}) / {div}::DOUBLE) > {LIMITS[v]}::DOUBLE AS hit FROM events"""
+    for v, (m, weight, div) in MODELS.items()
+)
 
 
-@query("stream_daily_errors", f"""WITH s AS (SELECT strftime(ts, '%Y-%m-%d') AS day, {_HIT} AS target, {_PROB} AS prob FROM events)
-SELECT day, count(*) AS n, count(*) FILTER (WHERE target = 1) AS positives, count(*) FILTER (WHERE target = 1 AND prob > 0.5) AS tp,
-count(*) FILTER (WHERE target = 0 AND prob > 0.5) AS fp, count(*) FILTER (WHERE target = 1 AND prob <= 0.5) AS fn FROM s
-WHERE CAST(day AS DATE) + 1 <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY day""")
+@query("stream_daily_errors", f"""WITH s AS ({_PREDICTED})
+SELECT day, model, count(*) AS n, count(*) FILTER (WHERE target = 1) AS positives, count(*) FILTER (WHERE target = 1 AND hit) AS tp,
+count(*) FILTER (WHERE target = 0 AND hit) AS fp, count(*) FILTER (WHERE target = 1 AND NOT hit) AS fn FROM s GROUP BY day, model""")
 def stream_daily_errors(spark, d):
-    daily = scoring.daily_error_counts(scored_stream(spark, d), F.col("prob") > 0.5)
-    return spark.read.parquet(finish(spark, daily, "stream-daily"))
+    parts = [
+        scored_stream(spark, d, v).select("time", "target", F.lit(v).alias("model"), (F.col("prob") > limit).alias("hit"))
+        for v, limit in LIMITS.items()
+    ]
+    daily = scoring.daily_error_counts(reduce(DataFrame.unionByName, parts), F.col("hit"), by=("model",))
+    path = scratch_path(spark, "stream-daily")
+    scoring.write_report(daily, f"{path}/data", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/data")
 
 
 @query("stream_dedup", "SELECT event_id AS snapshot_id, user_id AS thread_id FROM events")
@@ -81,11 +94,5 @@ row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM e
 def stream_latest(spark, d):
     latest = scoring.latest_per_thread(scored_stream(spark, d), ["snapshot_id"])
     path = scratch_path(spark, "stream-latest")
-    q = (
-        latest.writeStream.outputMode("complete").trigger(availableNow=True)
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{path}/data"))
-        .start()
-    )
-    q.awaitTermination()
+    scoring.write_report(latest, f"{path}/data", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/data")

@@ -259,12 +259,15 @@ def test_trees_find_a_planted_signal(spark, tmp_path):
 
 def test_stream_equals_batch(spark, sf):
     from registry import streams, text as _  # noqa: F401
+    from registry.monitoring import LIMITS
     from registry.views import scored
-    got = {r.day: (r.tp, r.fp, r.fn) for r in streams.stream_daily_errors(spark, sf).collect()}
-    days = scored(spark, sf).withColumn("day", F.date_format("time", "yyyy-MM-dd"))
-    batch = monitoring.compare_models(days, {"m": F.col("prob") > 0.5}, by=["day"]).where("model = 'm'")
-    want = {r.day: (r.tp, r.fp, r.fn) for r in batch.collect()}
-    assert got and all(want[d] == v for d, v in got.items())
+    got = {(r.day, r.model): (r.tp, r.fp, r.fn) for r in streams.stream_daily_errors(spark, sf).collect()}
+    want = {}
+    for model, limit in LIMITS.items():
+        days = scored(spark, sf, model).withColumn("day", F.date_format("time", "yyyy-MM-dd"))
+        batch = monitoring.compare_models(days, {"m": F.col("prob") > limit}, by=["day"]).where("model = 'm'")
+        want |= {(r.day, model): (r.tp, r.fp, r.fn) for r in batch.collect()}
+    assert got == want
 
 
 def test_bad_extract_rows_are_kept(spark, tmp_path):

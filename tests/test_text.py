@@ -132,6 +132,23 @@ def test_phrase_table_with_short_and_long_phrases(spark):
     assert got == {1: "Keep me. Bye.", 2: "", 3: None}
 
 
+def test_phrase_table_has_no_limit_on_short_phrases(spark):
+    said = [f"Word{i} says number{i * 7}{' ~~' if i % 11 == 0 else ''} ok." for i in range(400)]
+    rows = [(None if i % 5 == 0 else i, f"{a} {b}") for i, (a, b) in enumerate(zip(said[::2], said[1::2], strict=True))]
+    listed = [f"ber{i}" for i in range(1000, 5000, 2)] + [f"d{i} s" for i in range(0, 6000, 3)] + [f"{i} ok" for i in range(7, 9000, 9)] + ["~~"]
+    assert len(listed) > 5000 - 10
+    df = spark.createDataFrame(rows, "snapshot_id long, email string")
+    got = sorted(r.email for r in lexicon.remove_phrase_table(df, spark.createDataFrame([(p,) for p in listed], "phrase string")).collect())
+    sentences = [[s for s in (said[2 * i], said[2 * i + 1]) if not any(p in s.lower() for p in listed)] for i in range(200)]
+    assert got == sorted(" ".join(s) for s in sentences)
+
+
+def test_null_ids_keep_their_dictionary_words(spark):
+    df = spark.createDataFrame([(None, "alpha beta"), (1, "beta gamma")], "snapshot_id long, email string")
+    words = spark.createDataFrame([("alpha",), ("gamma",)], "word string")
+    assert {r.email for r in lexicon.keep_dictionary_words(df, "email", words).collect()} == {"alpha", "gamma"}
+
+
 def test_tokens(spark):
     assert apply(spark, ["don't stop, a_b!!"], tx.tokenize) == [["don't", "stop", ",", "a_b", "!", "!"]]
     assert apply(spark, ["don't!!"], tx.tokenize_word_punct) == [["don", "'", "t", "!!"]]

@@ -197,15 +197,15 @@ def rates() -> dict[str, Column]:
 
 
 def evaluate(
-    df: DataFrame, threshold: float | Column = DEFAULT_THRESHOLD, prob: str = "prob", target: str = "target",
+    df: DataFrame, threshold: float | Column | None = DEFAULT_THRESHOLD, prob: str = "prob", target: str = "target",
     by: list[str] | None = None,
 ) -> DataFrame:
     """The evaluation row per group: positives, errors, precision, recall, F1, areas.
 
     A row counts as predicted when its score is strictly above the threshold,
-    a number or a column of the row.
+    a number or a column of the row. Without a threshold no row is predicted.
     """
-    limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    limit = threshold if isinstance(threshold, Column) else F.lit(threshold).cast("double")
     rows, keys = _grouped(df, by)
     named = counts_above(F.col(target), F.col(prob) > limit)
     counts = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in named.items()]).withColumns(rates())

@@ -73,10 +73,11 @@ def keep_dictionary_words(
         words_in(
             df.select(row_id, F.explode(F.array_distinct(F.transform(words, F.lower))).alias("word")), known
         )
-        .groupBy(row_id).agg(F.collect_set("word").alias("_known"))
+        .groupBy(F.col(row_id).alias("_row")).agg(F.collect_set("word").alias("_known"))
     )
     kept = F.filter(words, lambda w: F.coalesce(F.array_contains("_known", F.lower(w)), F.lit(False)))
-    return df.join(found, row_id, "left").withColumn(name or text, F.array_join(kept, " ")).drop("_known")
+    joined = df.join(found, F.col(row_id).eqNullSafe(F.col("_row")), "left")
+    return joined.withColumn(name or text, F.array_join(kept, " ")).drop("_known", "_row")
 
 
 def remove_phrase_table(
@@ -86,40 +87,57 @@ def remove_phrase_table(
 
     A phrase inside a text brings each of its inner words along as a whole
     word, so texts meet phrases by an equi join on one of them (the longest).
-    The few phrases met by a text are then searched in its sentences, in its own
-    row. Phrases of one or two words have no inner word: they must be few and
-    are searched in every sentence.
+    A phrase of one or two words has no inner word: its longest word lies within
+    some word of the text, found among the distinct words of all texts by
+    their character trigrams. A phrase without any word is met by its first mark.
+    The phrases met by a text are then searched in its sentences, in its own row.
+    Rows with a null id meet phrases like any other.
     """
     low = F.lower("phrase")
-    inner = F.regexp_extract_all(low, F.lit(rf"[{WORD}]+"), 0)
-    inner = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))
-    listed = phrases.select(low.alias("phrase")).where(F.length("phrase") > 0).distinct().withColumn(
-        "word", F.array_min(F.transform(
-            inner, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))
-        ))["w"]
-    )
-    anchored = listed.where(F.col("word").isNotNull())
-    direct = listed.where(F.col("word").isNull()).select("phrase")
-    limit = 1_000
-    short = [r.phrase for r in direct.limit(limit + 1).collect()]
-    if len(short) > limit:
-        raise ValueError(f"more than {limit} phrases of one or two words")
+    every = F.regexp_extract_all(low, F.lit(rf"[{WORD}]+"), 0)
+    inner = F.slice(every, F.lit(2), F.greatest(F.size(every) - 2, F.lit(0)))
+    listed = phrases.select(low.alias("phrase")).where(F.length("phrase") > 0).distinct().select(
+        "phrase", _longest(inner).alias("word"), _longest(every).alias("part"))
+    anchored = listed.where("word IS NOT NULL").select("phrase", "word")
+    partial = listed.where("word IS NULL AND part IS NOT NULL").select("phrase", "part")
+    # Blanks cannot anchor, since sentences are split at them: a phrase of blanks alone is met by every text.
+    marks = listed.where("part IS NULL").select(
+        "phrase", F.coalesce(F.regexp_substr("phrase", F.lit(NON_SPACE)), F.lit("")).substr(1, 1).alias("word"))
 
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"[{WORD}]+"), 0))
+    texts = df.select(row_id, F.explode(words).alias("word"))
+    parts = partial.withColumn("gram", F.col("part").substr(1, 3))
+    vocabulary = texts.select("word").distinct()
+    within = (
+        vocabulary.select("word", F.explode(_grams(F.col("word"))).alias("gram"))
+        .join(hint_if_small(parts), "gram").where(F.contains("word", "part")).select("phrase", "word").distinct()
+    )
+    signs = F.array_distinct(F.split(F.regexp_replace(F.lower(text), rf"[{WORD}]+", ""), ""))
+    others = df.select(row_id, F.explode(F.array_union(signs, F.array(F.lit("")))).alias("word"))
     met = (
-        df.select(row_id, F.explode(words).alias("word"))
-        .join(hint_if_small(anchored), "word")
-        .groupBy(row_id).agg(F.collect_set("phrase").alias("_met"))
+        texts.join(hint_if_small(anchored), "word")
+        .unionByName(texts.join(within, "word"))
+        .unionByName(others.join(hint_if_small(marks), "word"))
+        .groupBy(F.col(row_id).alias("_row")).agg(F.collect_set("phrase").alias("_met"))
     )
-    listed_short = F.array(*[F.lit(p) for p in short]) if short else F.array().cast("array<string>")
-    searched = F.concat(F.coalesce("_met", F.array().cast("array<string>")), listed_short)
 
     def hit(_, low_sentence):
         return F.exists("_searched", lambda p: F.contains(low_sentence, p))
 
     return (
-        df.join(met, row_id, "left")
-        .withColumn("_searched", searched)
+        df.join(met, F.col(row_id).eqNullSafe(F.col("_row")), "left")
+        .withColumn("_searched", F.coalesce("_met", F.array().cast("array<string>")))
         .withColumn(name or text, drop_sentences(F.col(text), hit))
-        .drop("_met", "_searched")
+        .drop("_met", "_searched", "_row")
     )
+
+
+def _longest(words):
+    return F.array_min(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))["w"]
+
+
+def _grams(word):
+    """All substrings of one to three characters: the start of any part of the word is among them."""
+    return F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.length(word)),
+        lambda i: F.array(*[F.substring(word, i, F.lit(n)) for n in (1, 2, 3)]))))

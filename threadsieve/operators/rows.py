@@ -56,13 +56,13 @@ def underscore_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.replace(" ", "_") for c in df.columns])
 
 
-def apply_threshold(df: DataFrame, prob: str = "prob", threshold: Column | float = 0.5) -> DataFrame:
-    """Label strictly above the threshold, with its text and both probabilities."""
-    limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    label = F.when(F.col(prob) > limit, 1).otherwise(0)
+def apply_threshold(df: DataFrame, prob: str = "prob", threshold: Column | float | None = 0.5) -> DataFrame:
+    """Label strictly above the threshold, with its text and both probabilities; without a threshold no label."""
+    limit = threshold if isinstance(threshold, Column) else F.lit(threshold).cast("double")
+    label = F.when(F.col(prob) > limit, 1).when(limit.isNotNull(), 0)
     return df.withColumns({
         "predicted_label": label,
-        "pred_response": F.when(label == 1, LABEL_TEXT[1]).otherwise(LABEL_TEXT[0]),
+        "pred_response": F.when(label == 1, LABEL_TEXT[1]).when(label == 0, LABEL_TEXT[0]),
         "pred_1": F.col(prob),
         "pred_0": 1 - F.col(prob),
     })

@@ -50,7 +50,7 @@ def train_bundle(
     return writers.save_bundle(bundle, best.best_threshold if best else None, path)
 
 
-def score_messages(df: DataFrame, model: PipelineModel, threshold: float) -> DataFrame:
+def score_messages(df: DataFrame, model: PipelineModel, threshold: float | None) -> DataFrame:
     """Clean, score and label messages; those left empty get probability 0.
 
     Batch and stream scoring share this function, and cleaning is the same as in
@@ -64,7 +64,7 @@ def score_messages(df: DataFrame, model: PipelineModel, threshold: float) -> Dat
     return rows.apply_threshold(scored.withColumn(trees.PROB, prob), trees.PROB, threshold)
 
 
-def daily_batch(df: DataFrame, model: PipelineModel, threshold: float) -> DataFrame:
+def daily_batch(df: DataFrame, model: PipelineModel, threshold: float | None) -> DataFrame:
     """Batch scoring in which empty messages bypass the model.
 
     Both routes read the cleaned texts, so these are stored once.

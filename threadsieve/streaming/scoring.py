@@ -26,7 +26,7 @@ def parse_requests(df: DataFrame, body: str = "value") -> DataFrame:
 
 
 def score_requests(
-    requests: DataFrame, model: PipelineModel, threshold: float, rules: dict[str, Column] | None = None
+    requests: DataFrame, model: PipelineModel, threshold: float | None, rules: dict[str, Column] | None = None
 ) -> DataFrame:
     """Accepted requests with their score and response, rejected ones with reasons."""
     checked = rows.validate(requests, rules or rows.request_rules())
@@ -47,16 +47,19 @@ def _event_time(df: DataFrame, time: str) -> DataFrame:
 
 
 def daily_error_counts(
-    scored: DataFrame, predicted: Column, time: str = "time", target: str = "target", late: str = LATE
+    scored: DataFrame, predicted: Column, time: str = "time", target: str = "target", late: str = LATE, by: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Counts per day; rows later than ``late`` behind the newest are dropped and
-    a day is final once it is that old."""
+    """Counts per day and value of ``by``.
+
+    Written in append mode, a day appears once it is final: rows later than ``late`` behind the newest are dropped.
+    Written by ``write_report``, every day is there at once and late rows count; the state is one row per day and group.
+    """
     named = counts_above(F.col(target), predicted)
     return (
         _event_time(scored, time).withWatermark(time, late)
-        .groupBy(F.window(time, "1 day").alias("w"))
+        .groupBy(F.window(time, "1 day").alias("w"), *by)
         .agg(*[c.alias(n) for n, c in named.items()])
-        .select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), *named)
+        .select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), *by, *named)
     )
 
 
@@ -82,3 +85,11 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, partition: str | Non
         .option("checkpointLocation", checkpoint).option("path", path)
     )
     return (writer.partitionBy(partition) if partition else writer).start()
+
+
+def write_report(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The whole of a report-sized result, written again after each batch, over everything that is available now."""
+    return (
+        df.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda rows, epoch: rows.write.mode("overwrite").parquet(path)).start()
+    )
