@@ -23,6 +23,8 @@ BUCKETS, DIM, STRETCH = 1 << 16, 8, 40
 SIZES = (3, 4, 5)
 # Labelled rows per label that the fit reads at most.
 PER_LABEL = 1500
+# n-grams whose weights the fit holds at once; the driver keeps two bytes of each n-gram of the sample.
+AT_ONCE = 1 << 20
 ROUNDS, RATE, DECAY, PRIOR, SCALE = 40, 0.1, 1e-3, 60.0, 40.0
 _FOLD = LOWER.copy()
 _FOLD[[i for i in range(128) if not chr(i).isalnum()]] = 32
@@ -80,7 +82,7 @@ def fit(labelled: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Learn from rows ``doc_id, text, label`` (0 or 1); without both labels every text scores 0.5 or less."""
     rows = labelled.select("doc_id", "text", F.col("label").cast("int").alias("label")).where("label in (0, 1)")
     rows = per_class(rows, "label", per_label).select(F.xxhash64("doc_id", "text").alias("key"), "text", "label")
-    sample = rows.mapInArrow(_keyed, "key long, label int, g array<array<int>>").toArrow().sort_by(
+    sample = rows.mapInArrow(_keyed, "key long, label int, g array<array<smallint>>").toArrow().sort_by(
         [("key", "ascending"), ("label", "ascending")]).combine_chunks()
     y = sample["label"].to_numpy()
     if len(set(y.tolist())) < 2:
@@ -88,9 +90,11 @@ def fit(labelled: DataFrame, per_label: int = PER_LABEL) -> Model:
     bag = sample["g"].combine_chunks()
     text = np.repeat(np.arange(len(y)), np.diff(bag.offsets.to_numpy()))
     stretches = bag.flatten()
-    g = stretches.flatten().to_numpy()
-    sizes = np.diff(stretches.offsets.to_numpy())
-    s = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    g = stretches.flatten().to_numpy().view(np.uint16)
+    ends = stretches.offsets.to_numpy() - stretches.offsets[0].as_py()
+    sizes = np.diff(ends)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], AT_ONCE)), len(sizes)))
+    parts = list(zip(cuts[:-1], cuts[1:], strict=True))
     scale = SCALE / (sizes + PRIOR)
     share = 0.5 / np.bincount(y)[y]
     rng = np.random.default_rng(3)
@@ -100,7 +104,11 @@ def fit(labelled: DataFrame, per_label: int = PER_LABEL) -> Model:
     for step in range(1, ROUNDS + 1):
         embed, out_w, bias = state
         toward = out_w[:, 1] - out_w[:, 0]
-        logit = np.bincount(s, (embed @ toward)[g], len(sizes)) * scale + bias[1] - bias[0]
+        value, total = embed @ toward, np.zeros(len(sizes))
+        for a, z in parts:
+            s = np.repeat(np.arange(z - a), sizes[a:z])
+            total[a:z] = np.bincount(s, value[g[ends[a] : ends[z]]], z - a)
+        logit = total * scale + bias[1] - bias[0]
         top = np.maximum.reduceat(logit, starts)
         slope = share * (1 / (1 + np.exp(-top)) - y)
         # in the first half the label speaks for all stretches of a text, then for its highest one
@@ -109,7 +117,9 @@ def fit(labelled: DataFrame, per_label: int = PER_LABEL) -> Model:
         else:
             is_top = logit == top[text]
             per = np.where(is_top, slope[text], 0.0) / np.bincount(text, is_top)[text]
-        pull = np.bincount(g, (per * scale)[s], BUCKETS)
+        weight, pull = per * scale, np.zeros(BUCKETS)
+        for a, z in parts:
+            pull += np.bincount(g[ends[a] : ends[z]], np.repeat(weight[a:z], sizes[a:z]), BUCKETS)
         d_toward = pull @ embed
         grads = [pull[:, None] * toward + DECAY * embed, np.stack([-d_toward, d_toward], 1), np.array([-per.sum(), per.sum()])]
         # one step size per table, so that a rare n-gram moves as little as it tells
@@ -129,7 +139,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inner = np.searchsorted(s[order], np.arange(len(text) + 1)).astype(np.int32)
             outer = np.searchsorted(text, np.arange(len(piece) + 1)).astype(np.int32)
             own = batch.slice(piece.first, len(piece))
-            lists = pa.ListArray.from_arrays(inner, pa.array(g[order]))
+            lists = pa.ListArray.from_arrays(inner, pa.array(g[order].astype(np.uint16).view(np.int16)))
             yield pa.RecordBatch.from_arrays(
                 [own.column("key"), own.column("label"), pa.ListArray.from_arrays(outer, lists)], names=["key", "label", "g"])
 
