@@ -248,6 +248,14 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
 
 
+def test_toxicity_sample(spark):
+    rows = spark.createDataFrame([(i % 40, f"t{i % 40}", 9) for i in range(80)] + [(None, "x", 9)], "doc_id long, text string, label int")
+    labels = spark.createDataFrame([(i, i % 2 if i else None) for i in range(60)] + [(None, 1)], "doc_id long, label int")
+    got = toxicity.sample(rows, labels, 7).collect()
+    assert all(r.text == f"t{r.doc_id}" and r.label == r.doc_id % 2 and 0 < r.doc_id < 40 for r in got)
+    assert [len({r.doc_id for r in got if r.label == k}) for k in (0, 1)] == [7, 7] and len(got) == 28
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(0)
     plain, bad = ["table", "river", "morning", "walks", "green", "paper"], ["idiot", "moron", "stupid"]

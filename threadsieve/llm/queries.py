@@ -51,7 +51,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
-    known = docs.where(fold != 1).join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    known = toxicity.sample(docs.where(fold != 1), labels.select("doc_id", F.col("toxic").alias("label")))
     return toxicity.score(docs, toxicity.fit(known)).select(
         "doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadsieve.llm.common import spread
@@ -78,6 +78,20 @@ class Model:
         return 1 / (1 + np.exp(-best))
 
 
+def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
+    """``doc_id, text, label`` of the documents that a fit reads: at most ``per_label`` ids of each label 0 and 1.
+
+    ``labels`` has ``doc_id`` and ``label``. Ids of the least hash are chosen first, without texts; these ids, ``2 * per_label`` at
+    most, are then broadcast to the documents, so no text is shuffled. Null ids and labels are left out.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).where("label in (0, 1)")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = known.join(texts.select("doc_id"), "doc_id", "left_semi").distinct()
+    order = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id")
+    chosen = known.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= per_label).drop("_rn")
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+
+
 def fit(labelled: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Learn from rows ``doc_id, text, label`` (0 or 1); without both labels every text scores 0.5 or less."""
     rows = labelled.select("doc_id", "text", F.col("label").cast("int").alias("label")).where("label in (0, 1)")
