@@ -120,79 +120,85 @@ def _compare(percent: int):
                 np.cumsum([len(c) for c in changes], out=offsets[1:])
                 pair = batch.slice(piece.first, len(piece))
                 yield pa.RecordBatch.from_arrays([
-                    pair.column("a"), pair.column("b"), pa.array(linked), pa.array(np.diff(bounds).astype(np.int64)),
+                    *(pair.column(c) for c in ("a", "b", "root_a", "root_b")), pa.array(linked), pa.array(np.diff(bounds).astype(np.int64)),
                     pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(changes).view(np.int64))),
-                ], names=["a", "b", "linked", "n", "changes"])
+                ], names=["a", "b", "root_a", "root_b", "linked", "n", "changes"])
     return run
 
 
 def compare(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """``a, b, linked, n, changes``: pairs on their full shingle sets, the size of b's set and its differences from a's.
+    """``pairs`` with ``linked, n, changes``: on their full shingle sets, the size of b's set and its differences from a's.
 
     A text travels to its pair as a text, which takes less room than its hashes. Rows of one centre are sorted together, so
     that its set is made once per task.
     """
     sides = texts.select(F.col("_node").alias("b"), F.col("text").alias("text_b"))
     centres = texts.select(F.col("_node").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(sides, "b").join(centres, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_compare(percent), "a long, b long, linked boolean, n long, changes array<long>")
+    both = pairs.join(sides, "b").join(centres, "a").select("a", "b", "root_a", "root_b", "text_a", "text_b")
+    return both.mapInArrow(
+        _compare(percent), "a long, b long, root_a long, root_b long, linked boolean, n long, changes array<long>")
 
 
-def _next_buckets(checked: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """``bucket, _node, pull``: members of a star that may be linked with each other though not over its centre.
+def _stars(live: DataFrame) -> DataFrame:
+    """``a, b, root_a, root_b``: each member of a bucket with its centre, where a link may still join two components."""
+    chosen = live.groupBy("bucket").agg(
+        F.max(F.struct("pull", "_node", "root")).alias("centre"), F.min("root").alias("lo"), F.max("root").alias("hi"),
+        F.max("failed").alias("failed")).where("failed and lo <> hi").select("bucket", "centre")
+    pairs = live.join(chosen, "bucket").select(
+        F.col("centre._node").alias("a"), F.col("_node").alias("b"), F.col("centre.root").alias("root_a"), F.col("root").alias("root_b"))
+    return pairs.where("a <> b").distinct()
 
-    A pair of similarity t differs in at most ``slack = n * (1 - t) / t`` shingles. With k and l differences from the centre it
-    shares at least ``(k + l - slack) / 2`` of them; l is at least the least of the star, or of its failed members
-    when the pair's own side is linked.
+
+def _next_buckets(checked: DataFrame, percent: int) -> DataFrame:
+    """``bucket, _node, root, pull, failed``: members of a star that may be linked with each other though not over its centre.
+
+    A pair of sizes n and m and similarity t differs in at most ``slack = (n + m) * (1 - t) / (1 + t)`` shingles, where m is at
+    most ``n / t`` and at most the largest of the star. With k and l differences from the centre it shares at least
+    ``(k + l - slack) / 2`` of them; l is at least the least of the star, or of its failed members when the pair's own side is
+    linked.
     """
-    root = roots.select(F.col("node").alias("b"), "root")
-    failing = checked.groupBy("a").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("bad")).where("m > 1 and bad > 0").select("a")
-    rows = checked.join(failing, "a").join(root, "b", "left").withColumn("root", F.coalesce("root", "b")).withColumn("k", F.size("changes").cast("long"))
-    rows = store(rows, "members")
-    free = F.min(F.when(~F.col("linked"), F.col("k")))
+    rows = checked.withColumn("k", F.size("changes").cast("long"))
     stars = rows.groupBy("a").agg(
-        F.min("k").alias("least"), free.alias("free"), F.min("root").alias("lo"), F.max("root").alias("hi"),
-    ).where("free is not null and lo <> hi").select("a", "least", "free")
-    slack = F.floor(F.col("n") * (100 - percent) / percent)
+        F.min("k").alias("least"), F.min(F.when(~F.col("linked"), F.col("k"))).alias("free"), F.max("n").alias("most"),
+        F.min("root_b").alias("lo"), F.max("root_b").alias("hi"),
+    ).where("free is not null and lo <> hi").select("a", "least", "free", "most")
+    rows = rows.join(stars, "a")
+    largest = F.least(F.col("most"), F.floor(F.col("n") * 100 / percent))
+    slack = F.floor((F.col("n") + largest) * (100 - percent) / (100 + percent))
     other = F.greatest(F.when(F.col("linked"), F.col("free")).otherwise(F.col("least")), F.col("k") - slack)
     common = F.greatest(F.lit(1), F.ceil((F.col("k") + other - slack) / 2))
-    rows = rows.join(stars, "a").withColumn("prefix", F.col("k") - common + 1).where("prefix > 0")
-    each = rows.select("a", "b", "linked", "root", "k", "prefix", F.explode("changes").alias("f"))
+    rows = rows.withColumn("prefix", F.col("k") - common + 1).where("prefix > 0")
+    each = rows.select("a", "b", "linked", "root_b", "k", "prefix", F.explode("changes").alias("f"))
     each = each.withColumn("key", F.xxhash64("a", "f"))
     counts = each.groupBy("key").agg(F.count("*").alias("among"))
     rare = Window.partitionBy("a", "b").orderBy("among", "f")
     first = each.join(counts, "key").withColumn("_rn", F.row_number().over(rare)).where("_rn <= prefix and among > 1")
-    first = store(first.select("key", "b", "root", "linked", "k"), "differences")
-    meet = first.groupBy("key").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(~F.col("linked")).alias("failed")).where("failed and lo <> hi")
-    return first.join(meet.select("key"), "key").select(F.col("key").alias("bucket"), F.col("b").alias("_node"), (-F.col("k")).alias("pull"))
+    return first.select(
+        F.col("key").alias("bucket"), F.col("b").alias("_node"), F.col("root_b").alias("root"), (-F.col("k")).alias("pull"),
+        (~F.col("linked")).alias("failed"))
 
 
 def _links(nodes: DataFrame, texts_of, percent: int) -> DataFrame:
-    """``node, root`` of all nodes that have a confirmed link."""
+    """``node, root`` of all nodes that have a confirmed link. Nodes carry their root through a round; only new links change it."""
     rows = nodes.select("_node", F.explode("_bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     live = store(rows.join(shared, "bucket"), "buckets")
     texts = store(texts_of(live.select("_node").distinct()), "texts")
     fullness = live.groupBy("_node").agg(F.sum("n").alias("pull"))
-    live = live.join(fullness, "_node").select("bucket", "_node", "pull")
+    live = live.join(fullness, "_node").select("bucket", "_node", F.col("_node").alias("root"), "pull", F.lit(True).alias("failed"))
     edges = None
     while True:
         live = store(live, "buckets")
         if edges is not None and live.isEmpty():
             return roots
-        chosen = live.groupBy("bucket").agg(F.max(F.struct("pull", "_node")).alias("centre"))
-        pairs = live.join(chosen, "bucket").select(F.col("centre._node").alias("a"), F.col("_node").alias("b"))
-        checked = store(compare(pairs.where("a <> b").distinct(), texts, percent), "checked")
-        found = checked.where("linked").select("a", "b")
-        if edges is not None:
-            one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-            found = found.join(one, "a", "left").join(two, "b", "left").where(
-                "coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+        checked = store(compare(_stars(live), texts, percent), "checked")
+        found = checked.where("linked and root_a <> root_b").select("a", "b")
         if edges is None or not found.isEmpty():
             roots = components(found if edges is None else edges.unionByName(found))
             edges = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a <> b")
-        live = _next_buckets(checked, roots, percent)
+            known = roots.select(F.col("node").alias("b"), "root")
+            checked = checked.join(known, "b", "left").withColumn("root_b", F.coalesce("root", "b")).drop("root")
+        live = _next_buckets(checked, percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
