@@ -104,6 +104,19 @@ def test_near_copies_of_a_hub_lose_no_link(spark):
     assert got == dict(enumerate(label))
 
 
+def test_unlinked_documents_of_one_id_all_stay(spark):
+    rng = random.Random(2)
+    own = [" ".join(f"v{rng.randrange(10_000)}" for _ in range(80)) for _ in range(8)]
+    ids = [7, 7, None, None, None, 8, 9, 9]
+    # near copies of a text under id 7, of one under a null id, and of one under id 8 that has the other's id 7
+    rows = list(zip(ids, own, strict=True)) + [(7, own[0] + " more"), (None, own[2] + " more"), (7, own[5] + " more"), (9, own[6])]
+    table = make(spark, [(i, t, "en", "a") for i, t in rows])
+    got = Counter((r.doc_id, r.text) for r in neardup.one_of_each(table, 80).collect())
+    texts = Counter(next(n for n, t in enumerate(own) if text.startswith(t)) for _, text in got.elements())
+    assert texts == Counter(range(8))
+    assert (7, own[5] + " more") in got and (8, own[5]) not in got
+
+
 def test_signatures_estimate_similarity():
     a, b = " ".join(f"w{i}" for i in range(204)), " ".join(f"w{i}" for i in range(20, 224))
     (h, bounds), = [shingle_sets(p, 5) for p in pieces(pa.array([a, b]))]

@@ -205,7 +205,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Class of each document among those linked by a shingle similarity of ``percent`` hundredths or more.
 
     Takes ``doc_id`` and ``text``; other columns are ignored. Returns one row per row of ``docs``: ``doc_id, n_shingles,
-    component_id, kept`` and ``_text``, a digest of the text. ``component_id`` is the smallest id reachable over
+    component_id, kept``, ``_text``, a digest of the text, and ``_root``, the class itself (null without shingles): classes that share
+    an id, or have null ids only, also share their ``component_id``. That is the smallest id reachable over
     links, the own one included. A null or empty text and one without words have no shingles and no links. Repeated rows
     and texts of equal sets are linked. Rows that share an id stay apart unless their texts are linked. Null ids
     are never the smallest; ``kept`` is ``doc_id <=> component_id``.
@@ -225,20 +226,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     least = nodes.select("_node", "least").join(roots.withColumnRenamed("node", "_node"), "_node", "left")
     least = least.withColumn("root", F.coalesce("root", "_node"))
     best = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = least.select("_node", "root").join(best, "root").select("_node", "component_id")
+    named = least.select("_node", "root").join(best, "root").select("_node", "component_id", F.col("root").alias("_root"))
     known = sketch.select("doc_id", "_text", "n_shingles", "_node").join(named, "_node", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return known.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), "_text")
+    return known.select(
+        "doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), "_text", "_root")
 
 
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The documents with one of each near-duplicate class: that of the smallest id, one of its repeated rows.
 
+    Classes are told apart by their root, not by that id: unlinked documents of one id, or of null ids, each stay.
     All columns stay, whatever their names. Documents without words are all kept.
     """
-    classes = near_duplicates(docs, percent).where("kept")
-    some = classes.where("n_shingles > 0").groupBy("component_id").agg(F.min("_text").alias("_text")).select(
-        F.col("component_id").alias("doc_id"), "_text")
+    classes = near_duplicates(docs, percent).where("kept and n_shingles > 0")
+    # the id of all kept rows of a class is its component_id, so the least text picks one of them
+    some = classes.groupBy("_root", "doc_id").agg(F.min("_text").alias("_text")).select("doc_id", "_text")
     rows = docs.select(whole(docs).alias("row"), F.col("doc_id").cast("long").alias("_id"), digest("text").alias("_text"), "text")
     full = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
     picked = rows.where(full).join(

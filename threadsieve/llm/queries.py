@@ -37,7 +37,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(read(spark, sf_dir, "documents"), 85).drop("_text")
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), 85).drop("_text", "_root")
 
 
 @query
