@@ -316,6 +316,37 @@ def test_cutoffs_keep_their_promise():
     assert quality.choose_cutoff(good // 100, bad, 0.01, 0.001, 5) == 199
 
 
+def test_rules_share_one_sequence_at_the_full_risk(spark):
+    """400 good texts of a stratum suffice; 200 do not. Symbols catch most bad texts, capitals the others."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    plain = lambda: [word(5) for _ in range(60)]
+    texts, labels = [], []
+    for lang, n in (("en", 400), ("fr", 200), (None, 400)):
+        for i in range(2 * n):
+            words, label = plain(), 1 if i < n else None
+            if n <= i < n + n // 10:
+                label, words = 0, [w + "#" for w in words] if i % 3 else [w.upper() for w in words]
+            texts.append((len(texts), " ".join(words), lang, "a"))
+            labels.append((texts[-1][0], label))
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    quality_of = dict(labels)
+    kept = {r.doc_id: r.kept for r in quality.judged(make(spark, texts).drop("stratum"), table).collect()}
+    for i, _, lang, _ in texts:
+        assert kept[i] == (quality_of[i] != 0 or lang == "fr")
+
+
+def test_sequence_of_cutoffs():
+    bad, free = np.zeros((2, 200), int), np.zeros((2, 200), int)
+    free[:, 5], bad[:, 5] = 100, 1
+    bad[0, 150], bad[1, 100], free[1, 100] = 10, 20, 2
+    order = quality.sequence(bad, free)
+    # each rule goes down bin by bin, the cleaner one first, and neither below its last bad text
+    assert order[:150] == [*range(199, 149, -1), *range(399, 299, -1)]
+    assert [x for x in order if x < 200] == list(range(199, 4, -1))
+    assert [x for x in order if x >= 200] == list(range(399, 204, -1))
+
+
 def test_chat_round_trip(spark):
     turns = [(1, 0, "user", "a\\<|end|>"), (1, 1, "user", None), (1, 2, "assistant", "<s>[/INST]\\"), (1, 3, "assistant", "b<"),
              (2, 0, None, ""), (None, 5, "we|ird<|text|>", "x"), (3, None, "assistant", "n"), (3, 1, "assistant", "n"), (3, 1, "assistant", "n")]
