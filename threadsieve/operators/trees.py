@@ -6,14 +6,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadsieve.session import store
+
 PROB = "prob_pred"
 
 
@@ -28,18 +31,56 @@ def weigh_positives(df: DataFrame, target: str = "target", name: str = "weight")
 def train_gbt(
     df: DataFrame, features: str = "features", target: str = "target", validation: str | None = None,
     rounds: int = 1000, depth: int = 5, step: float = 0.1, subsample: float = 1.0,
-    feature_subset: str = "auto", tolerance: float = 0.01, seed: int = 101,
+    feature_subset: str = "auto", patience: int = 50, seed: int = 101,
 ) -> Model:
     """Boosted trees with balanced weights. With a boolean ``validation`` column,
-    training stops once those rows no longer gain ``tolerance``."""
+    training ends ``patience`` rounds after the last gain on those rows, and the
+    rounds after that gain are cut off.
+
+    Spark can neither wait nor resume. The seed fixes all rounds, so a model of twice
+    as many rounds begins with the same trees and replaces one that was too short.
+    """
     gbt = GBTClassifier(
         featuresCol=features, labelCol=target, weightCol="weight", maxIter=rounds, maxDepth=depth,
-        stepSize=step, subsamplingRate=subsample, featureSubsetStrategy=feature_subset,
-        validationTol=tolerance, seed=seed,
+        stepSize=step, subsamplingRate=subsample, featureSubsetStrategy=feature_subset, seed=seed,
     )
-    if validation:
-        gbt = gbt.setValidationIndicatorCol(validation)
-    return gbt.fit(weigh_positives(df, target))
+    weighed = weigh_positives(df, target)
+    if not validation:
+        return gbt.fit(weighed)
+    weighed = store(weighed.select(features, target, "weight", validation), "weighed")
+    train, held = weighed.where(~F.col(validation)), weighed.where(validation)
+    if held.isEmpty():
+        return gbt.fit(train)
+    grown = 2 * max(1, patience)
+    while True:
+        model = gbt.setMaxIter(min(rounds, grown)).fit(train)
+        best, ended = best_round(model.evaluateEachIteration(held), patience)
+        if ended or grown >= rounds:
+            return first_trees(model, best)
+        grown *= 2
+
+
+def best_round(errors: list[float], patience: int) -> tuple[int, bool]:
+    """Number of rounds up to the last gain, and whether ``patience`` rounds without one end the training."""
+    best = 1
+    for i, error in enumerate(errors, 1):
+        if error < errors[best - 1]:
+            best = i
+        elif i - best >= patience:
+            return best, True
+    return best, False
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model after its first ``n`` rounds."""
+    gateway, java = SparkContext._active_spark_context._gateway, model._java_obj
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(list(java.trees())[:n], model.treeWeights, strict=False)):
+        trees[i], weights[i] = tree, weight
+    cut = GBTClassificationModel(gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        model.uid, trees, weights, model.numFeatures, model.numClasses))
+    return model._copyValues(cut)
 
 
 def train_rf_cv(
