@@ -14,8 +14,6 @@ from threadsieve.session import scratch_path, store
 from threadsieve.sources import writers
 
 START, END = "2022-08-01", "2023-09-30"
-TREES = {"rounds": 5, "depth": 3}
-FEATURES = 200
 
 
 def _corpus(spark, d):
@@ -26,7 +24,7 @@ def _corpus(spark, d):
 
 def _bundle(spark, d):
     path = scratch_path(spark, "bundle")
-    training.train_bundle(_corpus(spark, d), path, min_recall=0.6, max_features=FEATURES, **TREES)
+    training.train_bundle(_corpus(spark, d), path, min_recall=0.6)
     return writers.load_bundle(spark, path)
 
 
@@ -64,17 +62,17 @@ def prepare_corpus(spark, d):
 
 @query("train_gbt")
 def train_gbt(spark, d):
-    _, table = training.build_features(_corpus(spark, d), FEATURES)
+    _, table = training.build_features(_corpus(spark, d))
     seen = tfidf.has_features(table).withColumn("is_val", F.col("data_type") == "val")
-    model = trees.train_gbt(seen.where("data_type <> 'test'"), validation="is_val", **TREES)
+    model = trees.train_gbt(seen.where("data_type <> 'test'"), validation="is_val")
     return trees.score(model, table).select("snapshot_id", "data_type", "target", trees.PROB)
 
 
 @query("train_rf_cv")
 def train_rf_cv(spark, d):
-    _, table = training.build_features(_corpus(spark, d), FEATURES)
+    _, table = training.build_features(_corpus(spark, d))
     seen = tfidf.has_features(table).where("data_type <> 'test'")
-    model = trees.train_rf_cv(seen, trees=(5, 10), depths=(3,), folds=5)
+    model = trees.train_rf_cv(seen)
     return trees.score(model, table).select("snapshot_id", "data_type", "target", trees.PROB)
 
 

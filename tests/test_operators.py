@@ -2,6 +2,7 @@
 
 import datetime
 import random
+from unittest.mock import MagicMock
 
 import numpy as np
 import pytest
@@ -300,3 +301,24 @@ def test_boosting_outlasts_a_dip(spark, tmp_path):
     want = trees.score(trees.first_trees(full, best), df).select(trees.PROB).collect()
     assert np.allclose(want, trees.score(model, df).select(trees.PROB).collect())
     assert np.allclose(want, trees.score(GBTClassificationModel.load(str(tmp_path / "gbt")), df).select(trees.PROB).collect())
+
+
+def test_tree_queries_use_the_operators_sizes(monkeypatch):
+    from registry import models
+
+    calls = []
+    monkeypatch.setattr(models, "_corpus", lambda *a: None)
+    monkeypatch.setattr(models.training, "build_features", lambda *a, **b: calls.append((a[1:], b)) or (None, None))
+    monkeypatch.setattr(models.training, "train_bundle", lambda *a, **b: calls.append((a[2:], b)))
+    monkeypatch.setattr(models.tfidf, "has_features", lambda t: MagicMock())
+    monkeypatch.setattr(models, "F", MagicMock())
+    monkeypatch.setattr(models, "scratch_path", lambda *a: "")
+    monkeypatch.setattr(models.writers, "load_bundle", lambda *a: None)
+    monkeypatch.setattr(models.trees, "score", lambda *a: MagicMock())
+    monkeypatch.setattr(models.trees, "train_gbt", lambda *a, **b: calls.append((a[1:], b)))
+    monkeypatch.setattr(models.trees, "train_rf_cv", lambda *a, **b: calls.append((a[1:], b)))
+    models.train_gbt(None, "")
+    models.train_rf_cv(None, "")
+    models._bundle(None, "")
+    sizes = {"rounds", "depth", "trees", "depths", "folds", "max_features"}
+    assert len(calls) == 5 and all(not a and not sizes & b.keys() for a, b in calls)
