@@ -363,6 +363,16 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(table.where("false")).count() == 0
 
 
+def test_a_text_shorter_than_the_item_is_one_window(spark):
+    words = [f"w{i}" for i in range(20)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    texts = {19: words[:19], 17: words[3:], 16: words[:16], 5: words[:5]}
+    table = make(spark, [(n, " " + " ".join(t), "en", "a") for n, t in texts.items()])
+    got = {r.doc_id: (round(r.similarity, 9), r.start, r.end) for r in decontamination.matches(table, items).collect()}
+    assert got == {n: (round((n - 4) / 16, 9), 1, 1 + len(" ".join(texts[n]))) for n in (19, 17)}
+    assert {r.doc_id for r in decontamination.clean(table, items).collect()} == {16, 5}
+
+
 def test_decontamination(spark, docs, rows, empty):
     words = rows[7][1].split()
     items = spark.createDataFrame(

@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
 
-For every length of a benchmark item, windows of as many words slide over each document. A window's fingerprint has a
+For every length of a benchmark item, windows of as many words slide over each document; a document of fewer words is one
+window if its shingles can reach the wanted share of the item's. A window's fingerprint has a
 bit for each of ``BITS`` random signs summed over its shingles, and two fingerprints that differ in at most ``RADIUS`` bits
 agree within ``RADIUS // BLOCKS`` bits in one of ``BLOCKS`` blocks. The index holds each item under all values so near to each
 of its blocks, hence it finds every item within the radius; those are compared on their weighted shingles. Windows
@@ -101,8 +102,10 @@ def find(piece, items: Items, least: float) -> list[tuple[int, int, float, int,
             # shingles of this text
             a, z = np.searchsorted(w.text[at], [text, text + 1])
             for length, own in items.by_length.items():
-                n = length - size + 1
-                if min(length, WORDS) != size or z - a < n:
+                # a shorter text is one window
+                full = length - size + 1
+                n = min(full, z - a)
+                if min(length, WORDS) != size or n / full < least:
                     continue
                 start = np.arange(a, z - n + 1)
                 start = start[hits[start + n] > hits[start]]
@@ -118,7 +121,7 @@ def find(piece, items: Items, least: float) -> list[tuple[int, int, float, int,
                         value = similarity(h[s : s + n], own[i][1], own[i][2])
                         if value >= least and value > best.get((text, own[i][0]), (0.0,))[0]:
                             shift = piece.offsets[text]
-                            best[text, own[i][0]] = value, int(w.starts[at[s]] - shift), int(w.ends[at[s] + length - 1] - shift)
+                            best[text, own[i][0]] = value, int(w.starts[at[s]] - shift), int(w.ends[at[s + n - 1] + size - 1] - shift)
     return [(int(t), i, *v) for (t, i), v in sorted(best.items(), key=lambda x: (x[0][0], str(x[0][1])))]
 
 
