@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadsieve.llm import chat, decontamination, langid, lines, mixing, neardup, quality, sharding, suffixes, toxicity
+from threadsieve.llm.samples import per_class
 from threadsieve.llm.words import pieces, shingle_sets
 
 SCHEMA = "doc_id long, text string, lang string, source string, row string, size long, _digest long, stratum string"
@@ -373,6 +374,14 @@ def test_a_text_shorter_than_the_item_is_one_window(spark):
     assert {r.doc_id for r in decontamination.clean(table, items).collect()} == {16, 5}
 
 
+def test_a_sample_holds_no_repeats(spark):
+    rows = [(1, "hot", "en")] * 300 + [(i, f"t{i}", "en") for i in range(2, 30)] + [(1, "hot", "fr"), (None, "n", "fr"), (None, "n", "fr")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for n in (5, 29):
+        got = Counter(tuple(r) for r in per_class(table, "lang", n).select("doc_id", "text", "lang").collect())
+        assert max(got.values()) == 1 and Counter(k[2] for k in got) == {"en": n, "fr": 2}
+
+
 def test_decontamination(spark, docs, rows, empty):
     words = rows[7][1].split()
     items = spark.createDataFrame(

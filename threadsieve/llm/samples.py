@@ -9,12 +9,11 @@ from threadsieve.llm.common import digest
 
 
 def per_class(rows: DataFrame, label: str, n: int) -> DataFrame:
-    """At most ``n`` rows of each label: those of the least hash of id and text.
+    """At most ``n`` rows of each label: those of the least hash of id and text, one of repeated rows.
 
-    Ranks are taken over ids and hashes alone, and only the first of each task travel. The chosen keys, at most
-    ``n`` per label, then pick the texts.
+    Ranks are taken over distinct hashes alone. The chosen keys, at most ``n`` per label, then pick the texts.
     """
     keyed = rows.withColumn("_key", F.xxhash64(F.lit(11), digest("doc_id", "text")))
     order = Window.partitionBy(label).orderBy("_key")
-    first = keyed.select(label, "_key").withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n)
-    return keyed.join(first.select("_key").distinct(), "_key").drop("_key")
+    first = keyed.select(label, "_key").distinct().withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n)
+    return keyed.join(first.select(label, "_key"), [label, "_key"]).dropDuplicates([label, "_key"]).drop("_key")
