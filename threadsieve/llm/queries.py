@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadsieve.llm import chat, decontamination, langid, lines, mixing, neardup, quality, sharding, suffixes, toxicity
+from threadsieve.llm import chat, decontamination, langid, lines, mixing, neardup, quality, repair, sharding, suffixes, toxicity
 from threadsieve.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = repair.repaired(repair.damaged(read(spark, sf_dir, "conversations")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return fixed.withColumn("repaired_sha256", F.sha2(said, 256)).drop("turns")
+
+
 # The escapes of a text: one more character for each backslash and each control string.
 SQL["op8_chat"] = r"""
 WITH t AS (
@@ -100,6 +107,51 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(text_chars + CASE WHEN role IS NOT DISTINCT FROM last THEN 7 ELSE 23 + role_chars END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id"""
 
+# The checksum bit by bit, then the cheapest edits row by row over the four states of the role pattern; an inserted
+# or changed turn is an assistant's where an even number of turns follows.
+SQL["op11_repair"] = r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+h AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_transform(string_split(name, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda crc, b: list_reduce(range(8), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(crc, b)),
+    4294967295), 4294967295) % 20 AS hit FROM k),
+d AS (SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) AS c(copy)),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+    CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS initial FROM d),
+g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS seen FROM f),
+r AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+    WHEN regexp_matches(text, '[^.!?\x20\x09-\x0D][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair FROM g),
+s AS (SELECT conv_id, max(n) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+step(p, role, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+gap(p, q, k) AS (VALUES (0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (0, 2, 1), (0, 3, 2), (1, 2, 1), (1, 3, 2), (2, 3, 1), (3, 2, 1)),
+e AS (
+  SELECT conv_id, n, p, p AS q, 2 AS cost, 'D' AS edit FROM r, (VALUES (0), (1), (2), (3)) v(p)
+  UNION ALL SELECT conv_id, n, p, q, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END, 'K' FROM r JOIN step ON step.role = initial WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT conv_id, n, p, q, CASE WHEN fault = 'truncated' THEN 6 ELSE 1 END, 'R' FROM r, step WHERE step.role <> 's' AND fault NOT IN ('blank', 'duplicate')),
+w AS (
+  SELECT conv_id, 0 AS n, q AS state, {'cost': 5 * k, 'audit': repeat('I', k)} AS best FROM s, gap WHERE p = 0
+  UNION ALL
+  SELECT w.conv_id, e.n, gap.q, min({'cost': w.best.cost + e.cost + 5 * gap.k, 'audit': w.best.audit || e.edit || repeat('I', gap.k)})
+  FROM w JOIN e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.n = w.n + 1 AND e.p = w.state JOIN gap ON gap.p = e.q
+  GROUP BY w.conv_id, e.n, gap.q),
+b AS (SELECT s.conv_id, min(best) AS best FROM s JOIN w ON w.conv_id IS NOT DISTINCT FROM s.conv_id AND w.n = s.n WHERE state IN (0, 3) GROUP BY s.conv_id),
+c AS (SELECT conv_id, i, best.audit[i] AS edit FROM (SELECT *, unnest(range(1, length(best.audit) + 1)) AS i FROM b)),
+t AS (SELECT *, count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY i) AS n,
+    count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id ORDER BY i DESC) - 1 AS after FROM c),
+o AS (SELECT t.conv_id, string_agg(CASE WHEN edit = 'K' THEN r.role WHEN after % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+      || CASE WHEN edit = 'I' THEN '' ELSE r.text END, chr(10) ORDER BY i) AS said
+  FROM t LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM t.conv_id AND r.n = t.n WHERE edit <> 'D' GROUP BY t.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(b.best.cost, 0) AS BIGINT) AS cost, coalesce(b.best.audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
 # Words of a line, A-Z lowered, joined by one blank, are its digest here.
 SQL["op7_lines"] = r"""
 WITH l AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS raw FROM documents),
