@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadsieve.llm import chat, decontamination, langid, lines, mixing, neardup, quality, repair, sharding, suffixes, toxicity
+from threadsieve.llm import chat, collocations, decontamination, langid, lines, mixing, neardup, packing, quality, repair, sharding, suffixes, toxicity
 from threadsieve.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +93,20 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.withColumn("repaired_sha256", F.sha2(said, 256)).drop("turns")
 
 
+@query
+def op12_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.packed(read(spark, sf_dir, "documents"), partial(packing.token_ids, path))
+    return pieces.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 # The escapes of a text: one more character for each backslash and each control string.
 SQL["op8_chat"] = r"""
 WITH t AS (
@@ -166,3 +182,22 @@ a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed,
 SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed_spans, '') AS removed_spans,
   length(coalesce(kept, d.text)) AS kept_chars, md5(coalesce(kept, d.text)) AS kept_md5
 FROM documents d LEFT JOIN a USING (doc_id)"""
+
+# All phrases of 1 to 5 words are counted outright; every pair of a candidate and a longer one is tried.
+SQL["op13_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+g AS (SELECT lang, k, i, words[i:i + k - 1] AS ids FROM w, unnest(range(1, 6)) AS o(k), unnest(range(1, len(words) - k + 2)) AS s(i)),
+c AS (SELECT lang, ids, count(*) AS f FROM g GROUP BY lang, ids HAVING count(*) >= 100),
+t AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+b AS (SELECT lang, ids, f AS a FROM c WHERE len(ids) > 1 AND NOT EXISTS (
+    SELECT 1 FROM c AS d WHERE d.lang = c.lang AND len(d.ids) > len(c.ids) AND 100 * d.f >= 100 * c.f
+      AND list_contains(list_transform(range(1, len(d.ids) - len(c.ids) + 2), lambda i: d.ids[i:i + len(c.ids) - 1]), c.ids))),
+u AS (SELECT b.lang, b.ids, a, k, h.f AS l, e.f AS r, n, CAST((1000::HUGEINT * a * n) // (h.f::HUGEINT * e.f) AS BIGINT) AS score
+  FROM b, unnest(range(1, len(b.ids))) AS o(k), c AS h, c AS e, t
+  WHERE h.lang = b.lang AND e.lang = b.lang AND t.lang = b.lang AND h.ids = b.ids[1:k] AND e.ids = b.ids[k + 1:]),
+m AS (SELECT *, row_number() OVER (PARTITION BY lang, ids ORDER BY score, k) AS cut FROM u),
+x AS (SELECT lang, array_to_string(ids, ' ') AS phrase, a, l, r, n, score FROM m WHERE cut = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM x QUALIFY rank <= 2000"""
