@@ -90,6 +90,17 @@ def test_long_text_is_tokenised_in_sections(spark):
     assert [i for p in parts for i in plain.encode(p, add_special_tokens=False).ids] == whole
 
 
+def test_words_are_looked_up_as_the_tokenizer_reads_them(monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 300)
+    rng = random.Random(9)
+    parts = ["Word", "word", "it's", "DON'T", "a.b", "x..", "x.", "²!", "Ⅷ?", "é,", "É", "e\u0301.", "\u0301", "Σας.", "ΟΔΟΣ", "_:", "5;", "42,",
+             "<|endoftext|>", "<|ENDOFTEXT|>", "a<|startoftext|>.", "\x1c", "a\x1cb", "\u00a0", "b\u2003c", "\u0085", "日本。", "日,", "😀!", "\t", "\r"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", "\n", "  ", "", "\t"]) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    encode, plain = packing.token_ids(PATH), Tokenizer.from_file(PATH)
+    got = [ids.tolist() for at in range(0, 400, 50) for ids in encode(texts[at:at + 50])]
+    assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_query_against_the_tokenizer(spark, sf):
     plain = Tokenizer.from_file(PATH)
     want = {r.doc_id: plain.encode(r.text or "", add_special_tokens=False).ids + [1]

@@ -9,6 +9,9 @@ group is left; its last windows are poured together and the rest is cut at power
 from __future__ import annotations
 
 import os
+import sys
+import types
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -26,6 +29,8 @@ TASKS_AT_ONCE = 64
 # Characters that are tokenised in one call, and the bytes of ids that leave a task in one batch.
 CHARS_AT_ONCE = 1 << 21
 BYTES_AT_ONCE = 8 << 20
+# Words whose tokens a task remembers; the marks that end a word as a token of their own.
+KNOWN_WORDS, MARKS = 600_000, ".,;:!?"
 # A sequence's number: level of the merge, task or group, place there.
 LEVEL_BITS, TASK_BITS = 58, 28
 
@@ -168,17 +173,66 @@ def sections(text: str, limit: int = 1 << 20) -> Iterator[str]:
         start = end
 
 
+def grouped(parts: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+    """Neighbouring parts, as many as have ``CHARS_AT_ONCE`` characters together."""
+    some, chars = [], 0
+    for part in parts:
+        some.append(part)
+        chars += len(part[1])
+        if chars > CHARS_AT_ONCE:
+            yield some
+            some, chars = [], 0
+    if some:
+        yield some
+
+
+def word_parts(word: str) -> tuple[str, str]:
+    """A word as it is looked up: a sentence mark after a letter or number is a token of its own, and ASCII letters are lowered."""
+    tail = word[-1:] if word[-1:] in MARKS and word[-2:-1].isalnum() else ""
+    head = word[:len(word) - len(tail)]
+    return head.lower() if head.isascii() and "<|" not in head else head, tail
+
+
+def worker_memory(key: str) -> dict[str, bytes]:
+    """A table that lasts as long as a Python worker, so that its next task finds the words of the one before.
+
+    Functions travel by value and have no module of their own there, hence a module made for it.
+    """
+    module = sys.modules.setdefault("_threadsieve_words", types.ModuleType("_threadsieve_words"))
+    return module.__dict__.setdefault(key, {})
+
+
 def token_ids(path: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """Tokenizer of a vocabulary file whose words never cross white space."""
+    """Tokenizer of a vocabulary file that lowers its words and never lets them cross white space.
+
+    Words between blanks and line breaks are tokenised once and looked up from then on, up to a bound.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    known = worker_memory(path)
+    known[""] = b""
+
+    def learn(words: set[str]) -> None:
+        parts = [(w, *word_parts(w)) for w in words]
+        new = list({p for _, *two in parts for p in two}.difference(known))
+        found = tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        known.update(zip(new, [array("I", e.ids).tobytes() for e in found]))
+        for word, head, tail in parts:
+            known[word] = known[head] + known[tail] if tail else known[head]
 
     def run(texts: list[str]) -> list[np.ndarray]:
-        parts = [list(sections(t)) for t in texts]
-        found = iter(tokenizer.encode_batch_fast([p for ps in parts for p in ps], add_special_tokens=False))
-        return [np.concatenate([np.zeros(0, "<u4")] + [np.array(next(found).ids, "<u4") for _ in ps]) for ps in parts]
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+            known[""] = b""
+        out: list[list[bytes]] = [[] for _ in texts]
+        for some in grouped([(i, part) for i, text in enumerate(texts) for part in sections(text)]):
+            words = [part.replace("\n", " ").split(" ") for _, part in some]
+            learn(set().union(*words).difference(known))
+            for (i, _), these in zip(some, words):
+                out[i].append(b"".join(map(known.__getitem__, these)))
+        return [np.frombuffer(b"".join(parts), "<u4") for parts in out]
 
     return run
 
