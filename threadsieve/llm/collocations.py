@@ -21,7 +21,7 @@ from threadsieve.llm.common import spread
 from threadsieve.session import store
 
 # n-grams that a task gathers before it counts them, and entries that it keeps before it sends its filters.
-GATHER, KEEP = 4_000_000, 2_000_000
+GATHER, KEEP = 2_000_000, 1_000_000
 # Occurrences of words for each shard of the filters.
 SHARD_WORDS = 4_000_000
 # Bytes of word digests, or of one order's merged filters, that may be sent to every task; beyond, digests are
