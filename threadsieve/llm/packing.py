@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +28,10 @@ from threadsieve.session import store
 # Tasks whose open windows are packed together in one group: at most this many times ``windows`` windows.
 TASKS_AT_ONCE = 64
 # Characters that are tokenised in one call, and the bytes of ids that leave a task in one batch.
-CHARS_AT_ONCE = 1 << 21
+CHARS_AT_ONCE = 1 << 22
 BYTES_AT_ONCE = 8 << 20
-# Words whose tokens a task remembers; the marks that end a word as a token of their own.
-KNOWN_WORDS, MARKS = 600_000, ".,;:!?"
+# Words whose tokens a worker remembers; letters and digits after which a sentence mark is a token of its own.
+KNOWN_WORDS, PLAIN = 400_000, "a-z0-9À-ÖØ-öø-ſ"
 # A sequence's number: level of the merge, task or group, place there.
 LEVEL_BITS, TASK_BITS = 58, 28
 
@@ -163,76 +164,59 @@ def _batch(rows: Rows) -> pa.RecordBatch:
         [pa.array(c, t) for c, (_, t) in zip(rows.columns(), TYPES)], names=[n for n, _ in TYPES])
 
 
-def sections(text: str, limit: int = 1 << 20) -> Iterator[str]:
-    """A long text in parts that end at a blank; its words, and with them its tokens, are the same."""
-    start = 0
-    while start < len(text):
-        end = text.find(" ", start + limit)
-        end = len(text) if end < 0 else end
-        yield text[start:end]
-        start = end
-
-
-def grouped(parts: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
-    """Neighbouring parts, as many as have ``CHARS_AT_ONCE`` characters together."""
-    some, chars = [], 0
-    for part in parts:
-        some.append(part)
-        chars += len(part[1])
-        if chars > CHARS_AT_ONCE:
-            yield some
-            some, chars = [], 0
-    if some:
-        yield some
-
-
-def word_parts(word: str) -> tuple[str, str]:
-    """A word as it is looked up: a sentence mark after a letter or number is a token of its own, and ASCII letters are lowered."""
-    tail = word[-1:] if word[-1:] in MARKS and word[-2:-1].isalnum() else ""
-    head = word[:len(word) - len(tail)]
-    return head.lower() if head.isascii() and "<|" not in head else head, tail
-
-
-def worker_memory(key: str) -> dict[str, bytes]:
-    """A table that lasts as long as a Python worker, so that its next task finds the words of the one before.
+def worker_memory(key: str) -> dict[str, dict[str, bytes]]:
+    """``young`` and ``old`` words. They last as long as a Python worker, so that its next task finds the words of the one before.
 
     Functions travel by value and have no module of their own there, hence a module made for it.
     """
     module = sys.modules.setdefault("_threadsieve_words", types.ModuleType("_threadsieve_words"))
-    return module.__dict__.setdefault(key, {})
+    return module.__dict__.setdefault(key, {"young": {}, "old": {}})
 
 
 def token_ids(path: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """Tokenizer of a vocabulary file that lowers its words and never lets them cross white space.
+    """Tokenizer of a vocabulary file that lowers its words, never lets them cross white space, and parts letters from marks.
 
-    Words between blanks and line breaks are tokenised once and looked up from then on, up to a bound.
+    Words between blanks and line breaks, in lower ASCII letters and without a sentence mark behind them, are tokenised once and looked
+    up from then on, up to a bound. Texts that may hold a special token are tokenised whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known = worker_memory(path)
-    known[""] = b""
+    memory = worker_memory(path)
 
-    def learn(words: set[str]) -> None:
-        parts = [(w, *word_parts(w)) for w in words]
-        new = list({p for _, *two in parts for p in two}.difference(known))
+    def look_up(words: list[str]) -> list[bytes]:
+        known, old = memory["young"], memory["old"]
+        if len(known) > KNOWN_WORDS:
+            # words that are met again come back from the old ones, the others go with the next change
+            known, old = {}, known
+            memory.update(young=known, old=old)
+        missing = [w for w in words if w not in known]
+        new = [w for w in missing if w not in old]
+        known.update({w: old[w] for w in missing if w in old})
         found = tokenizer.encode_batch_fast(new, add_special_tokens=False)
         known.update(zip(new, [array("I", e.ids).tobytes() for e in found]))
-        for word, head, tail in parts:
-            known[word] = known[head] + known[tail] if tail else known[head]
+        return [known[w] for w in words]
 
     def run(texts: list[str]) -> list[np.ndarray]:
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-            known[""] = b""
-        out: list[list[bytes]] = [[] for _ in texts]
-        for some in grouped([(i, part) for i, text in enumerate(texts) for part in sections(text)]):
-            words = [part.replace("\n", " ").split(" ") for _, part in some]
-            learn(set().union(*words).difference(known))
-            for (i, _), these in zip(some, words):
-                out[i].append(b"".join(map(known.__getitem__, these)))
-        return [np.frombuffer(b"".join(parts), "<u4") for parts in out]
+        special = [i for i, t in enumerate(texts) if "<|" in t]
+        column = pa.array(["" if "<|" in t else t for t in texts], pa.large_string())
+        column = pc.replace_substring(pc.ascii_lower(column), "\n", " ")
+        column = pc.replace_substring_regex(column, f"([{PLAIN}])([.,;:!?]) ", r"\1 \2 ")
+        words = pc.split_pattern(column, " ")
+        each = words.flatten().dictionary_encode()
+        parts = look_up(each.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        tokens, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
+        at = each.indices.to_numpy()
+        counts = sizes[at]
+        ends = np.append(0, np.cumsum(counts))
+        ids = tokens[np.repeat(starts[at] - ends[:-1], counts) + np.arange(ends[-1])]
+        bounds = ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        out = [ids[a:z] for a, z in zip(bounds[:-1], bounds[1:])]
+        for i in special:
+            out[i] = np.array(tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4")
+        return out
 
     return run
 
