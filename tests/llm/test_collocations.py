@@ -105,6 +105,7 @@ def test_against_plain_counting(spark, monkeypatch, sent_bytes, least, covered,
 def test_small_buffers_and_many_shards(spark, monkeypatch):
     monkeypatch.setattr(collocations, "GATHER", 50)
     monkeypatch.setattr(collocations, "KEEP", 20)
+    monkeypatch.setattr(collocations, "WORDS_AT_ONCE", 37)
     monkeypatch.setattr(collocations, "SHARD_WORDS", 100)
     rows = fixture()
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)

@@ -22,6 +22,7 @@ from threadsieve.session import store
 
 # n-grams that a task gathers before it counts them, and entries that it keeps before it sends its filters.
 GATHER, KEEP = 2_000_000, 1_000_000
+WORDS_AT_ONCE = 500_000
 # Occurrences of words for each shard of the filters.
 SHARD_WORDS = 4_000_000
 # Bytes of word digests, or of one order's merged filters, that may be sent to every task; beyond, digests are
@@ -68,12 +69,23 @@ def vocabulary(docs: DataFrame, least: int, seed: int = 1) -> tuple[DataFrame, D
     return store(numbered, "vocabulary"), totals, seed
 
 
+def sliced(lists: pa.ListArray, n: int) -> Iterator[pa.ListArray]:
+    """Neighbouring lists, as many as have about ``n`` values together; a longer one is on its own."""
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+    at = 0
+    while at < len(lists):
+        done = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, done + n, side="right")))
+        yield lists.slice(at, end - at)
+        at = end
+
+
 def _to_ids(sent):
     """Digests of each row as ids, rare words and breaks as 0; only what stands beside another id is kept."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        for batch in batches:
-            digests = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+        for rows in (part for batch in batches for part in sliced(batch.column(0), WORDS_AT_ONCE)):
+            digests = rows.flatten().to_numpy(zero_copy_only=False)
             if not len(digests):
                 continue
             at = np.minimum(np.searchsorted(known, digests), max(len(known) - 1, 0))
@@ -142,11 +154,12 @@ def _count(order: int, width: int, shard_bits: int, sent):
 
         for batch in batches:
             ids = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-            start = _windows(ids, order, width, shorter)
-            for at in range(0, len(start), GATHER):
-                some = start[at:at + GATHER]
-                waiting.append(quotient.permute(*quotient.pack([ids[some + k] for k in range(order)], width), half))
-                gathered += len(some)
+            for at in range(0, len(ids), WORDS_AT_ONCE):
+                part = ids[at:at + WORDS_AT_ONCE + order - 1]
+                start = _windows(part, order, width, shorter)
+                start = start[start < WORDS_AT_ONCE]
+                waiting.append(quotient.permute(*quotient.pack([part[start + k] for k in range(order)], width), half))
+                gathered += len(start)
                 if gathered >= GATHER:
                     entries, waiting, gathered = settle(), [], 0
                     if len(entries[0]) > KEEP:
