@@ -28,10 +28,10 @@ from threadsieve.session import store
 # Tasks whose open windows are packed together in one group: at most this many times ``windows`` windows.
 TASKS_AT_ONCE = 64
 # Characters that are tokenised in one call, and the bytes of ids that leave a task in one batch.
-CHARS_AT_ONCE = 1 << 22
+CHARS_AT_ONCE = 1 << 21
 BYTES_AT_ONCE = 8 << 20
-# Words whose tokens a worker remembers; letters and digits after which a sentence mark is a token of its own.
-KNOWN_WORDS, PLAIN = 400_000, "a-z0-9À-ÖØ-öø-ſ"
+# Words whose tokens a worker remembers, and those that it tokenises in one call; letters and digits after which a sentence mark is a token of its own.
+KNOWN_WORDS, WORDS_AT_ONCE, PLAIN = 250_000, 4096, "a-z0-9À-ÖØ-öø-ſ"
 # A sequence's number: level of the merge, task or group, place there.
 LEVEL_BITS, TASK_BITS = 58, 28
 
@@ -194,8 +194,9 @@ def token_ids(path: str) -> Callable[[list[str]], list[np.ndarray]]:
         missing = [w for w in words if w not in known]
         new = [w for w in missing if w not in old]
         known.update({w: old[w] for w in missing if w in old})
-        found = tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        known.update(zip(new, [array("I", e.ids).tobytes() for e in found]))
+        for i in range(0, len(new), WORDS_AT_ONCE):
+            some = new[i:i + WORDS_AT_ONCE]
+            known.update(zip(some, [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]))
         return [known[w] for w in words]
 
     def run(texts: list[str]) -> list[np.ndarray]:
