@@ -8,7 +8,7 @@ from registry import query
 from registry.views import EMAILS, emails, table
 from threadsieve.functions import text as tx
 from threadsieve.functions.lexicons import BOILERPLATE, STOP_WORDS
-from threadsieve.operators import fuzzy, lexicon
+from threadsieve.operators import fuzzy, lexicon, paragraphs
 
 STOPS = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
 
@@ -167,7 +167,16 @@ gone AS (SELECT DISTINCT x.doc_id, x.i FROM dots x JOIN nn a ON a.doc_id = x.doc
 SELECT d.doc_id, coalesce(string_agg(k.p, chr(10) ORDER BY k.i), '') AS text FROM documents d
 LEFT JOIN (SELECT * FROM p ANTI JOIN gone ON p.doc_id = gone.doc_id AND p.i = gone.i) k ON d.doc_id = k.doc_id GROUP BY d.doc_id""")
 def near_dup_paragraphs(spark, d):
-    return docs(spark, d).select("doc_id", tx.dedup_similar_paragraphs(F.col("text"), "\n").alias("text"))
+    return paragraphs.drop_similar_paragraphs(docs(spark, d), "text", "\n").select("doc_id", "text")
+
+
+@query("near_dup_vectors", """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+gone AS (SELECT DISTINCT a.vec_id FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id
+  WHERE list_dot_product(a.e, b.e) > 0 AND list_dot_product(a.e, b.e) ** 2 > 0.98::DOUBLE * 0.98::DOUBLE * list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e))
+SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM gone)""")
+def near_dup_vectors(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return paragraphs.drop_similar_vectors(vectors, "label", "vec_id", "embedding").select("vec_id", "label")
 
 
 @query("split_sentences", f"SELECT conv_id, turn, array_to_string({sentence_list('text')}, '|') AS sentences, CAST(len({sentence_list('text')}) AS INTEGER) AS n FROM conversations")
