@@ -101,6 +101,57 @@ def bundle_sanity(spark, d):
     return evaluation.evaluate(test, threshold, trees.PROB)
 
 
+_ROWS = CORPUS.split("newest AS (")[0].rstrip().rstrip(",") + """,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY time DESC, md5(CAST(snapshot_id AS VARCHAR))) AS r, count(*) OVER (PARTITION BY target) AS n FROM lab WHERE kind = 'train'),
+parts AS (SELECT snapshot_id, target, CASE WHEN r <= floor(0.2::DOUBLE * n) THEN 'val' ELSE 'train' END AS data_type FROM ranked
+  UNION ALL SELECT snapshot_id, target, 'test' FROM lab WHERE kind = 'test')"""
+
+
+def _scored_rows(scored):
+    return scored.select("snapshot_id", "data_type", "target", F.col(trees.PROB).between(0, 1).alias("in_range"))
+
+
+@query("gbt_rows", _ROWS + " SELECT snapshot_id, data_type, target, true AS in_range FROM parts")
+def gbt_rows(spark, d):
+    """What is determined of the scores of a trained model: rows, splits, labels and range."""
+    return _scored_rows(train_gbt(spark, d))
+
+
+@query("forest_rows", _ROWS + " SELECT snapshot_id, data_type, target, true AS in_range FROM parts")
+def forest_rows(spark, d):
+    return _scored_rows(train_rf_cv(spark, d))
+
+
+@query("bundle_vectors", _ROWS + " SELECT snapshot_id, true AS same_vector FROM parts")
+def bundle_vectors(spark, d):
+    """A saved and loaded bundle makes the vectors of the model that was fitted."""
+    texts = store(_corpus(spark, d), "corpus")
+    path = scratch_path(spark, "bundle")
+    training.train_bundle(texts, path, min_recall=0.6, rounds=3)
+    fitted = tfidf.fit_vectors(texts.where("data_type = 'train'"), max_features=990)
+    loaded, _ = writers.load_bundle(spark, path)
+    sides = [tfidf.vectorize(m, texts.select("snapshot_id", tfidf.TEXT)).select(
+        "snapshot_id", F.to_json(F.unwrap_udt("features")).alias(name)) for m, name in ((fitted, "a"), (loaded, "b"))]
+    return sides[0].join(sides[1], "snapshot_id").select("snapshot_id", (F.col("a") == F.col("b")).alias("same_vector"))
+
+
+@query("batch_labels", f"""WITH {EMAILS} SELECT snapshot_id, true AS label_agrees, true AS empty_is_zero FROM emails""")
+def batch_labels(spark, d):
+    """Batch scores: the label is the score above the threshold, and a message left empty scores 0."""
+    model, threshold = _bundle(spark, d)
+    scored = training.daily_batch(emails(spark, d, heavy=True), model, threshold)
+    prob = F.col(trees.PROB)
+    return scored.select(
+        "snapshot_id", (F.col("predicted_label") == (prob > threshold).cast("int")).alias("label_agrees"),
+        (F.coalesce(F.length("preprocessed_email") > 0, F.lit(False)) | (prob == 0)).alias("empty_is_zero"))
+
+
+@query("sanity_counts", _ROWS + " SELECT count(*) AS n, count(*) FILTER (target = 1) AS positives, true AS adds_up FROM parts WHERE data_type = 'test'")
+def sanity_counts(spark, d):
+    """The counts of the evaluation of a loaded bundle."""
+    return bundle_sanity(spark, d).select("n", "positives", (F.col("tp") + F.col("fn") == F.col("positives")).alias("adds_up"))
+
+
 def _punctuation_model():
     """Stand-in for an outside model: logits from length and punctuation."""
     def logits(texts):

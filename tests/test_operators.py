@@ -6,7 +6,6 @@ from unittest.mock import MagicMock
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -283,26 +282,6 @@ def test_bad_extract_rows_are_kept(spark, tmp_path):
     assert got["2"].time is None and got["2"]._corrupt_record is not None
 
 
-def test_boosting_outlasts_a_dip(spark, tmp_path):
-    assert trees.best_round([1.0, 0.9, 0.95, 0.8, 0.85, 0.85, 0.85, 0.1], 3) == (4, True)
-    assert trees.best_round([1.0, 0.9, 0.95, 0.8], 3) == (4, False)
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(400, 3))
-    y = (x[:, 0] * x[:, 1] + 0.3 * rng.normal(size=400) > 0).astype(int)
-    df = spark.createDataFrame(
-        [(Vectors.dense(v), int(t), i % 4 == 0) for i, (v, t) in enumerate(zip(x, y, strict=True))], ["features", "target", "is_val"])
-    rows = trees.weigh_positives(df)
-    full = GBTClassifier(
-        labelCol="target", weightCol="weight", maxIter=24, maxDepth=2, stepSize=0.1, seed=101).fit(rows.where("not is_val"))
-    best = trees.best_round(full.evaluateEachIteration(rows.where("is_val")), 6)[0]
-    model = trees.train_gbt(df, validation="is_val", rounds=24, depth=2, patience=6)
-    assert model.getNumTrees == best > 6
-    model.write().overwrite().save(str(tmp_path / "gbt"))
-    want = trees.score(trees.first_trees(full, best), df).select(trees.PROB).collect()
-    assert np.allclose(want, trees.score(model, df).select(trees.PROB).collect())
-    assert np.allclose(want, trees.score(GBTClassificationModel.load(str(tmp_path / "gbt")), df).select(trees.PROB).collect())
-
-
 def test_tree_queries_use_the_operators_sizes(monkeypatch):
     from registry import models
 
@@ -320,5 +299,5 @@ def test_tree_queries_use_the_operators_sizes(monkeypatch):
     models.train_gbt(None, "")
     models.train_rf_cv(None, "")
     models._bundle(None, "")
-    sizes = {"rounds", "depth", "trees", "depths", "folds", "max_features"}
+    sizes = {"rounds", "depth", "trees", "depths", "folds", "max_features", "options", "pause", "patience"}
     assert len(calls) == 5 and all(not a and not sizes & b.keys() for a, b in calls)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +14,10 @@ from pyspark.sql import functions as F
 from threadsieve.functions.text import split_sentences
 
 THRESHOLD = 90.0
+# What is left of a sentence: its letters and the blanks between words.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789_ "
+# Sentences that a task remembers.
+SEEN = 500_000
 
 
 def indel_similarity(a: str, b: str) -> float:
@@ -63,28 +70,90 @@ def token_set_similarity(a: str, b: str, floor: float = 0.0) -> float:
     return max(best, 200.0 * (len(shared) + gap + inner) / (left + right))
 
 
+@dataclass
+class PhraseSets:
+    """Word sets of phrases as arrays: postings of words, sizes, lengths and character counts.
+
+    Most pairs of a sentence and a phrase are decided by them: a set inside the other is similar, and neither the lengths nor the
+    characters in common of most others allow the threshold. Only the rest is compared character by character.
+    """
+
+    words: list[list[str]]
+    postings: dict[str, np.ndarray]
+    sizes: np.ndarray
+    chars: np.ndarray
+    bags: np.ndarray
+
+    @classmethod
+    def of(cls, phrases: list[str]) -> PhraseSets:
+        words = sorted({tuple(sorted(set(plain_words(p).split()))) for p in phrases} - {()})
+        postings: dict[str, list[int]] = {}
+        for i, some in enumerate(words):
+            for w in some:
+                postings.setdefault(w, []).append(i)
+        return cls([list(w) for w in words], {w: np.array(at) for w, at in postings.items()},
+                   np.array([len(w) for w in words], np.int64), np.array([sum(map(len, w)) for w in words], np.int64),
+                   np.array([char_counts(w) for w in words], np.int64).reshape(len(words), len(LETTERS)))
+
+    def similar(self, sentence: str, threshold: float) -> bool:
+        """Whether any phrase's similarity, rounded, reaches the threshold."""
+        mine = sorted(set(plain_words(sentence).split()))
+        if not mine or not self.words:
+            return False
+        n, length = len(mine), sum(map(len, mine))
+        common, shared = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
+        for w in mine:
+            at = self.postings.get(w)
+            if at is not None:
+                common[at] += 1
+                shared[at] += len(w)
+        if ((common > 0) & ((common == n) | (common == self.sizes))).any():
+            return True
+        # lengths of words joined by blanks: those in common, and each side as common words and then its own
+        both = shared + np.maximum(common - 1, 0)
+        left, right = (total + count - 1 for total, count in ((length, n), (self.chars, self.sizes)))
+        best = np.where(common > 0, 200.0 * both / (both + np.minimum(left, right)), 0.0)
+        if (np.rint(best) >= threshold).any():
+            return True
+        floor = threshold - 0.5
+        open_ = np.flatnonzero(200.0 * np.minimum(left, right) / (left + right) >= floor)
+        if len(open_):
+            alike = np.minimum(self.bags[open_], char_counts(mine)).sum(axis=1)
+            open_ = open_[200.0 * alike / (left + right[open_]) >= floor]
+        text = " ".join(mine)
+        return any(round(token_set_similarity(text, " ".join(self.words[i]), floor)) >= threshold for i in open_)
+
+
+def char_counts(words: Iterable[str]) -> list[int]:
+    """Counts of each letter in the words joined by blanks."""
+    text = " ".join(words)
+    return [text.count(c) for c in LETTERS]
+
+
 def remove_similar_phrases(
     df: DataFrame, phrases: list[str], text: str = "email", threshold: float = THRESHOLD, name: str | None = None
 ) -> DataFrame:
-    """Drop the sentences whose word set is similar to a phrase of a short list.
+    """Drop the sentences whose word set is similar to one of the phrases.
 
     Case and punctuation do not count; the similarity is rounded to a whole
-    number before it is compared, so ``threshold - 0.5`` is enough.
+    number before it is compared, so ``threshold - 0.5`` is enough. Sentences
+    that a task has met are not compared again.
     """
-    listed = [plain_words(p) for p in phrases]
-    floor = threshold - 0.5
+    sets = PhraseSets.of(phrases)
 
     @F.pandas_udf("array<string>")
-    def keep(column: pd.Series) -> pd.Series:
+    def keep(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         seen: dict[str, bool] = {}
 
-        def ok(s: str) -> bool:
+        def stays(s: str) -> bool:
             if s not in seen:
-                words = plain_words(s)
-                seen[s] = all(round(token_set_similarity(words, p, floor)) < threshold for p in listed)
+                seen[s] = not sets.similar(s, threshold)
             return seen[s]
 
-        return column.map(lambda xs: None if xs is None else [s for s in xs if ok(s)])
+        for column in batches:
+            if len(seen) > SEEN:
+                seen.clear()
+            yield column.map(lambda xs: None if xs is None else [s for s in xs if stays(s)])
 
     sentences = F.transform(split_sentences(F.col(text)), lambda s: F.regexp_replace(s, "\n", " "))
     return df.withColumn(name or text, F.array_join(keep(sentences), " "))

@@ -1,4 +1,4 @@
-"""Class-weighted tree classifiers and batch scoring with Spark ML."""
+"""Class-weighted tree classifiers, and scoring with them and with outside models."""
 
 from __future__ import annotations
 
@@ -6,16 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import SparkContext
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadsieve.session import store
+from threadsieve.operators import boosting, forest
 
 PROB = "prob_pred"
 
@@ -30,76 +26,27 @@ def weigh_positives(df: DataFrame, target: str = "target", name: str = "weight")
 
 def train_gbt(
     df: DataFrame, features: str = "features", target: str = "target", validation: str | None = None,
-    rounds: int = 1000, depth: int = 5, step: float = 0.1, subsample: float = 1.0,
-    feature_subset: str = "auto", patience: int = 50, seed: int = 101,
+    options: boosting.Options | str | None = None, folder: str | None = None, pause: int | None = None, **changed,
 ) -> Model:
-    """Boosted trees with balanced weights. With a boolean ``validation`` column,
-    training ends ``patience`` rounds after the last gain on those rows, and the
-    rounds after that gain are cut off.
+    """Boosted trees with balanced weights, by ``boosting.boosted``.
 
-    Spark can neither wait nor resume. The seed fixes all rounds, so a model of twice
-    as many rounds begins with the same trees and replaces one that was too short.
+    With a boolean ``validation`` column training ends ``patience`` rounds after the best measure on those rows, and the rounds after
+    it are left out. ``options`` are values or a preset's name (``auc``, ``average_precision``, ``logloss``), ``changed`` replaces single
+    ones. ``folder`` keeps what a training needs to go on, ``pause`` ends a call after that many rounds.
     """
-    gbt = GBTClassifier(
-        featuresCol=features, labelCol=target, weightCol="weight", maxIter=rounds, maxDepth=depth,
-        stepSize=step, subsamplingRate=subsample, featureSubsetStrategy=feature_subset, seed=seed,
-    )
-    weighed = weigh_positives(df, target)
-    if not validation:
-        return gbt.fit(weighed)
-    weighed = store(weighed.select(features, target, "weight", validation), "weighed")
-    train, held = weighed.where(~F.col(validation)), weighed.where(validation)
-    if held.isEmpty():
-        return gbt.fit(train)
-    grown = 2 * max(1, patience)
-    while True:
-        model = gbt.setMaxIter(min(rounds, grown)).fit(train)
-        best, ended = best_round(model.evaluateEachIteration(held), patience)
-        if ended or grown >= rounds:
-            return first_trees(model, best)
-        grown *= 2
-
-
-def best_round(errors: list[float], patience: int) -> tuple[int, bool]:
-    """Number of rounds up to the last gain, and whether ``patience`` rounds without one end the training."""
-    best = 1
-    for i, error in enumerate(errors, 1):
-        if error < errors[best - 1]:
-            best = i
-        elif i - best >= patience:
-            return best, True
-    return best, False
-
-
-def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
-    """The model after its first ``n`` rounds."""
-    gateway, java = SparkContext._active_spark_context._gateway, model._java_obj
-    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
-    weights = gateway.new_array(gateway.jvm.double, n)
-    for i, (tree, weight) in enumerate(zip(list(java.trees())[:n], model.treeWeights, strict=False)):
-        trees[i], weights[i] = tree, weight
-    cut = GBTClassificationModel(gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(
-        model.uid, trees, weights, model.numFeatures, model.numClasses))
-    return model._copyValues(cut)
+    held = F.coalesce(F.col(validation), F.lit(False)) if validation else F.lit(False)
+    scale = df.where(~held).select(
+        (F.count_if(F.col(target) == 0) / F.nullif(F.count_if(F.col(target) == 1), F.lit(0))).alias("s")).first()[0]
+    weighed = df.withColumn("weight", F.when(F.col(target) == 1, F.lit(float(scale or 1.0))).otherwise(1.0))
+    return boosting.boosted(weighed, features, target, "weight", validation, options or boosting.Options(), folder, pause, **changed)
 
 
 def train_rf_cv(
     df: DataFrame, features: str = "features", target: str = "target",
-    trees: tuple[int, ...] = (100, 200), depths: tuple[int, ...] = (5, 10), folds: int = 5,
-    seed: int = 101, parallelism: int = 2,
+    trees: tuple[int, ...] = forest.COUNTS, depths: tuple[int, ...] = forest.DEPTHS, folds: int = 5, seed: int = 101,
 ) -> Model:
-    """Balanced random forest chosen by area under the PR curve over a grid of
-    tree counts and depths, refitted on all rows."""
-    forest = RandomForestClassifier(featuresCol=features, labelCol=target, weightCol="weight", seed=seed)
-    grid = (
-        ParamGridBuilder().addGrid(forest.numTrees, list(trees)).addGrid(forest.maxDepth, list(depths)).build()
-    )
-    judge = BinaryClassificationEvaluator(labelCol=target, metricName="areaUnderPR", numBins=0)
-    search = CrossValidator(
-        estimator=forest, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=seed,
-        parallelism=parallelism,
-    )
-    return search.fit(weigh_positives(df, target)).bestModel
+    """Balanced random forest chosen by average precision over a grid of tree counts and depths, grown on all rows."""
+    return forest.balanced_forest(df, features, target, trees, depths, folds, seed)[0]
 
 
 def score(model: Model, df: DataFrame, name: str = PROB) -> DataFrame:
