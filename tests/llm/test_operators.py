@@ -412,3 +412,31 @@ def test_decontamination(spark, docs, rows, empty):
     clean = decontamination.clean(docs, items)
     assert clean.columns == docs.columns
     assert {r.doc_id for r in clean.collect()} == {r[0] for r in rows} - {d for d, _ in want}
+
+
+@pytest.mark.parametrize("edits, copies", [(5, 120), (10, 60)])
+def test_copies_about_the_threshold_lose_no_link_and_few_pairs_are_compared(spark, monkeypatch, edits, copies):
+    """Copies whose pairs lie about the threshold, or all below it: classes of all pairs, from pairs in proportion."""
+    rng = random.Random(edits)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = []
+    for _ in range(copies):
+        words = list(base)
+        for _ in range(edits):
+            words[rng.randrange(400)] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(copies))
+    for i in range(copies):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    compared = []
+    plain = neardup.store
+    monkeypatch.setattr(neardup, "store", lambda df, name: compared.append(t) or t if (t := plain(df, name)) is not None and name == "checked" else t)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(table, 80).collect()}
+    assert got == dict(enumerate(root))
+    assert sum(t.count() for t in compared) < 25 * copies and len(compared) < 6

@@ -6,13 +6,13 @@ empty bin borrows from a filled one that a fixed random sequence, the same for a
 densification), so texts of few shingles keep unbiased signatures. ``ROWS`` bins make a band; texts that agree
 in a whole band share its bucket.
 
-Texts of equal sets are one node, so exact copies never meet each other in a bucket. A bucket gives the
-edges of a star: each member with the centre, the member that sits in the fullest buckets overall. Centres are compared
+Texts of equal sets are one node, so exact copies never meet each other in a bucket. A bucket of few members gives all its
+pairs. A larger one gives the edges of a star: each member with the centre, the member that sits in the fullest buckets overall. Centres are compared
 with members on their full sets, which also yields how each member differs from its centre: the shingles added and
 those missing. Two members that share none of these differences are no more similar than the less similar of them is
 to the centre. So a link that the star does not show, between a member that failed and any other, needs
-differences in common, and how many follows from the sizes. The rarest of them (a prefix, as in set joins) make the
-buckets of the next round, in which only members of different components stay. Stars thus
+differences in common, and how many follows from the sizes. The first of them in one order of the star (a prefix, as in set joins),
+in which differences that several of a few members have come last, make the buckets of the next round, in which only members of different components stay. Stars thus
 bound the pairs where copies are many, and no candidate pair of a bucket is lost.
 At the threshold a pair misses all of its buckets with probability ``(1 - t ** ROWS) ** BANDS``, 3e-7 at 0.85.
 """
@@ -34,6 +34,10 @@ from threadsieve.session import store
 
 BANDS, ROWS, WORDS = 32, 6, 5
 BINS = BANDS * ROWS
+# A bucket of up to this many members is compared pair by pair.
+FEW = 8
+# Members of a star in which frequent differences are looked for, and those that make one frequent. Any order is exact.
+LOOKED_AT, OFTEN = 32, 3
 _EDGES = (np.arange(BINS + 1, dtype=object) * (1 << 64) // BINS)
 _LOW = np.array([int(x) for x in _EDGES[:-1]], np.uint64)
 
@@ -99,7 +103,7 @@ def _compare(percent: int):
         centre, center_set = None, None
         for batch in batches:
             ids = batch.column("a").to_numpy()
-            texts = batch.column("text_a")
+            texts, star = batch.column("text_a"), batch.column("star").to_numpy(zero_copy_only=False)
             for piece in pieces(batch.column("text_b")):
                 h, bounds = shingle_sets(piece, WORDS)
                 linked, changes = [], []
@@ -115,14 +119,14 @@ def _compare(percent: int):
                     missing[place[common]] = False
                     n = int(common.sum())
                     linked.append(100 * n >= percent * (len(own) + len(center_set) - n))
-                    changes.append(np.concatenate([own[~common], center_set[missing] ^ _MISSING]))
+                    changes.append(np.concatenate([own[~common], center_set[missing] ^ _MISSING]) if star[at] else own[:0])
                 offsets = np.zeros(len(piece) + 1, np.int32)
                 np.cumsum([len(c) for c in changes], out=offsets[1:])
                 pair = batch.slice(piece.first, len(piece))
                 yield pa.RecordBatch.from_arrays([
-                    *(pair.column(c) for c in ("a", "b", "root_a", "root_b")), pa.array(linked), pa.array(np.diff(bounds).astype(np.int64)),
+                    *(pair.column(c) for c in ("a", "b", "root_a", "root_b", "star")), pa.array(linked), pa.array(np.diff(bounds).astype(np.int64)),
                     pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(changes).view(np.int64))),
-                ], names=["a", "b", "root_a", "root_b", "linked", "n", "changes"])
+                ], names=["a", "b", "root_a", "root_b", "star", "linked", "n", "changes"])
     return run
 
 
@@ -134,19 +138,31 @@ def compare(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """
     sides = texts.select(F.col("_node").alias("b"), F.col("text").alias("text_b"))
     centres = texts.select(F.col("_node").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(sides, "b").join(centres, "a").select("a", "b", "root_a", "root_b", "text_a", "text_b")
+    both = pairs.join(sides, "b").join(centres, "a").select("a", "b", "root_a", "root_b", "star", "text_a", "text_b")
     return both.mapInArrow(
-        _compare(percent), "a long, b long, root_a long, root_b long, linked boolean, n long, changes array<long>")
+        _compare(percent), "a long, b long, root_a long, root_b long, star boolean, linked boolean, n long, changes array<long>")
 
 
-def _stars(live: DataFrame) -> DataFrame:
-    """``a, b, root_a, root_b``: each member of a bucket with its centre, where a link may still join two components."""
-    chosen = live.groupBy("bucket").agg(
+def _pairs(live: DataFrame) -> DataFrame:
+    """``a, b, root_a, root_b, star``: what is to be compared where a link may still join two components.
+
+    A bucket of few members gives all its pairs and is done; a larger one each member with its centre.
+    """
+    groups = live.groupBy("bucket").agg(
         F.max(F.struct("pull", "_node", "root")).alias("centre"), F.min("root").alias("lo"), F.max("root").alias("hi"),
-        F.max("failed").alias("failed")).where("failed and lo <> hi").select("bucket", "centre")
-    pairs = live.join(chosen, "bucket").select(
-        F.col("centre._node").alias("a"), F.col("_node").alias("b"), F.col("centre.root").alias("root_a"), F.col("root").alias("root_b"))
-    return pairs.where("a <> b").distinct()
+        F.max("failed").alias("failed"), F.count("*").alias("members")).where("failed and lo <> hi")
+    chosen = groups.where(F.col("members") > FEW).select("bucket", "centre")
+    stars = live.join(chosen, "bucket").select(
+        F.col("centre._node").alias("a"), F.col("_node").alias("b"), F.col("centre.root").alias("root_a"), F.col("root").alias("root_b"),
+        F.lit(True).alias("star")).where("a <> b")
+    small = live.join(groups.where(F.col("members") <= FEW).select("bucket"), "bucket").groupBy("bucket").agg(
+        F.sort_array(F.collect_set(F.struct("_node", "root", "failed"))).alias("m"))
+    each = small.select(F.posexplode("m").alias("at", "x"), "m").select(
+        "x", F.explode(F.slice("m", F.col("at") + 2, F.greatest(F.size("m") - F.col("at") - 1, F.lit(0)))).alias("y"))
+    both = each.where("(x.failed or y.failed) and x.root <> y.root and x._node <> y._node").select(
+        F.col("x._node").alias("a"), F.col("y._node").alias("b"), F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b"),
+        F.lit(False).alias("star"))
+    return stars.unionByName(both).groupBy("a", "b", "root_a", "root_b").agg(F.max("star").alias("star"))
 
 
 def _next_buckets(checked: DataFrame, percent: int) -> DataFrame:
@@ -168,11 +184,17 @@ def _next_buckets(checked: DataFrame, percent: int) -> DataFrame:
     other = F.greatest(F.when(F.col("linked"), F.col("free")).otherwise(F.col("least")), F.col("k") - slack)
     common = F.greatest(F.lit(1), F.ceil((F.col("k") + other - slack) / 2))
     rows = rows.withColumn("prefix", F.col("k") - common + 1).where("prefix > 0")
-    each = rows.select("a", "b", "linked", "root_b", "k", "prefix", F.explode("changes").alias("f"))
+    # One order of the differences of a star serves all its members: those that several of a few members have come last.
+    sampled = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))).where(F.col("_rn") <= LOOKED_AT)
+    often = sampled.select("a", F.explode("changes").alias("f")).groupBy("a", "f").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    often = often.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("n", "f"))).alias("often"))
+    last = F.coalesce(F.col("often.f"), F.array().cast("array<long>"))
+    ordered = F.concat(F.array_except("changes", last), F.array_intersect(last, F.col("changes")))
+    each = rows.join(often, "a", "left").select(
+        "a", "b", "linked", "root_b", "k", F.explode(F.slice(ordered, F.lit(1), F.col("prefix").cast("int"))).alias("f"))
     each = each.withColumn("key", F.xxhash64("a", "f"))
-    counts = each.groupBy("key").agg(F.count("*").alias("among"))
-    rare = Window.partitionBy("a", "b").orderBy("among", "f")
-    first = each.join(counts, "key").withColumn("_rn", F.row_number().over(rare)).where("_rn <= prefix and among > 1")
+    shared = each.groupBy("key").agg(F.count("*").alias("among")).where("among > 1").select("key")
+    first = each.join(shared, "key")
     return first.select(
         F.col("key").alias("bucket"), F.col("b").alias("_node"), F.col("root_b").alias("root"), (-F.col("k")).alias("pull"),
         (~F.col("linked")).alias("failed"))
@@ -191,14 +213,14 @@ def _links(nodes: DataFrame, texts_of, percent: int) -> DataFrame:
         live = store(live, "buckets")
         if edges is not None and live.isEmpty():
             return roots
-        checked = store(compare(_stars(live), texts, percent), "checked")
+        checked = store(compare(_pairs(live), texts, percent), "checked")
         found = checked.where("linked and root_a <> root_b").select("a", "b")
         if edges is None or not found.isEmpty():
             roots = components(found if edges is None else edges.unionByName(found))
             edges = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a <> b")
             known = roots.select(F.col("node").alias("b"), "root")
             checked = checked.join(known, "b", "left").withColumn("root_b", F.coalesce("root", "b")).drop("root")
-        live = _next_buckets(checked, percent)
+        live = _next_buckets(checked.where("star"), percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

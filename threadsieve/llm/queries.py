@@ -46,7 +46,7 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(langid.learnable(docs))).select(
-        "row.doc_id", (F.crc32(F.col("row.doc_id").cast("string")) % 4 == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+        "row.doc_id", F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 @query
@@ -55,7 +55,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     known = toxicity.sample(docs.where(fold != 1), labels.select("doc_id", F.col("toxic").alias("label")))
     return toxicity.score(docs, toxicity.fit(known)).select(
-        "doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+        "doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 @query
