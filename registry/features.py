@@ -169,3 +169,29 @@ def mask_words(spark, d):
             F.array_join("m.labels", " ", "-100").alias("labels"),
         )
     )
+
+
+# Pieces of words of four characters, with ids that begin anew in each list, packed and then masked word by word.
+@query("pack_then_mask", f"""WITH w AS (SELECT conv_id * 1000 + turn AS id, unnest({_WORDS}) AS word, generate_subscripts({_WORDS}, 1) - 1 AS wid FROM conversations),
+p AS (SELECT id, wid, unnest(regexp_extract_all(word, '.{{1,4}}')) AS piece, generate_subscripts(regexp_extract_all(word, '.{{1,4}}'), 1) AS k FROM w),
+l AS (SELECT conv_id * 1000 + turn AS id, row_number() OVER (ORDER BY md5(CAST(conv_id * 1000 + turn AS VARCHAR))) - 1 AS pos FROM conversations),
+o AS (SELECT pos // {BATCH} AS batch, piece, wid, row_number() OVER (PARTITION BY pos // {BATCH} ORDER BY pos, wid, k) - 1 AS place FROM p JOIN l USING (id)),
+c AS (SELECT batch, place // {CHUNK} AS chunk, place, piece, wid, wid IS DISTINCT FROM lag(wid) OVER (PARTITION BY batch, place // {CHUNK} ORDER BY place) AS opens FROM o),
+n AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY batch, chunk ORDER BY place) - 1 AS word FROM c),
+m AS (SELECT *, substr(md5('101:' || CAST(batch AS VARCHAR) || '-' || CAST(chunk AS VARCHAR) || ':' || CAST(word AS VARCHAR)), 1, 8) < '26666666'
+  AND piece NOT IN ('.', '..') AS hit FROM n)
+SELECT batch, chunk, string_agg(CASE WHEN hit THEN '[MASK]' ELSE piece END, ' ' ORDER BY place) AS tokens,
+  string_agg(CASE WHEN hit THEN piece ELSE '-100' END, ' ' ORDER BY place) AS labels, count(*) AS attended
+FROM m GROUP BY batch, chunk HAVING count(*) = {CHUNK}""")
+def pack_then_mask(spark, d):
+    words = F.regexp_extract_all("text", F.lit(rf"[{tx.WORD}]+|[^{tx.WORD}{tx.SPACE}]"), 0)
+    split = F.transform(words, lambda w: F.regexp_extract_all(w, F.lit(".{1,4}"), 0))
+    lists = chats(spark, d).select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.flatten(split).alias("pieces"),
+        F.flatten(F.transform(split, lambda ps, i: F.transform(ps, lambda p: i))).alias("word_ids"))
+    lists = lists.withColumn("attention", F.transform("pieces", lambda p: F.lit(1)))
+    packed = packing.pack(packing.batches(lists, BATCH, "id"), ["pieces", "attention", "word_ids"], "batch", "place", CHUNK)
+    masked = packing.mask_chunks(packed, "pieces", "word_ids", ["batch", "chunk"], special=[".", ".."])
+    return masked.select(
+        "batch", "chunk", F.array_join("pieces", " ").alias("tokens"), F.array_join("labels", " ", "-100").alias("labels"),
+        F.aggregate("attention", F.lit(0).cast("long"), lambda a, x: a + x).alias("attended"))

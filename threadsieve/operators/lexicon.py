@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadsieve.functions.text import NON_SPACE, WORD, drop_sentences
-from threadsieve.session import hint_if_small
+from threadsieve.session import hint_if_small, store
+
+# Phrases without any word up to this number are searched in every text.
+SEARCHED = 1000
 
 
 def words_in(words: DataFrame, lexicon: DataFrame, column: str = "word", listed: bool = True) -> DataFrame:
@@ -86,54 +91,74 @@ def remove_phrase_table(
     """Drop the sentences holding any phrase of a table of any size.
 
     A phrase inside a text brings each of its inner words along as a whole
-    word, so texts meet phrases by an equi join on one of them (the longest).
+    word, so texts meet phrases by an equi join on one of them: of the two
+    longest the one that fewer texts have. The texts' words are read once, only
+    those that phrases name are kept, and their counts choose the anchors.
     A phrase of one or two words has no inner word: its longest word lies within
     some word of the text, found among the distinct words of all texts by
-    their character trigrams. A phrase without any word is met by its first mark.
+    their character trigrams. Phrases without any word, if there are a few, are searched in each text.
+    A kind of phrase that the table does not hold costs nothing, and a text
+    that meets no phrase gives no row.
     The phrases met by a text are then searched in its sentences, in its own row.
     Rows with a null id meet phrases like any other.
     """
     low = F.lower("phrase")
     every = F.regexp_extract_all(low, F.lit(rf"[{WORD}]+"), 0)
     inner = F.slice(every, F.lit(2), F.greatest(F.size(every) - 2, F.lit(0)))
-    listed = phrases.select(low.alias("phrase")).where(F.length("phrase") > 0).distinct().select(
-        "phrase", _longest(inner).alias("word"), _longest(every).alias("part"))
-    anchored = listed.where("word IS NOT NULL").select("phrase", "word")
-    partial = listed.where("word IS NULL AND part IS NOT NULL").select("phrase", "part")
-    # Blanks cannot anchor, since sentences are split at them: a phrase of blanks alone is met by every text.
-    marks = listed.where("part IS NULL").select(
-        "phrase", F.coalesce(F.regexp_substr("phrase", F.lit(NON_SPACE)), F.lit("")).substr(1, 1).alias("word"))
+    listed = store(phrases.select(low.alias("phrase")).where(F.length("phrase") > 0).distinct().select(
+        "phrase", _longest(inner, 2).alias("words"), F.get(_longest(every, 1), F.lit(0)).alias("part")), "phrases")
+    kinds = listed.agg(
+        F.count_if(F.size("words") > 0), F.count_if((F.size("words") == 0) & F.col("part").isNotNull()), F.count_if(F.col("part").isNull())).first()
+    partial = listed.where((F.size("words") == 0) & F.col("part").isNotNull()).select("phrase", "part")
 
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"[{WORD}]+"), 0))
-    texts = df.select(row_id, F.explode(words).alias("word"))
-    parts = partial.withColumn("gram", F.col("part").substr(1, 3))
-    vocabulary = texts.select("word").distinct()
-    within = (
-        vocabulary.select("word", F.explode(_grams(F.col("word"))).alias("gram"))
-        .join(hint_if_small(parts), "gram").where(F.contains("word", "part")).select("phrase", "word").distinct()
-    )
-    signs = F.array_distinct(F.split(F.regexp_replace(F.lower(text), rf"[{WORD}]+", ""), ""))
-    others = df.select(row_id, F.explode(F.array_union(signs, F.array(F.lit("")))).alias("word"))
-    met = (
-        texts.join(hint_if_small(anchored), "word")
-        .unionByName(texts.join(within, "word"))
-        .unionByName(others.join(hint_if_small(marks), "word"))
-        .groupBy(F.col(row_id).alias("_row")).agg(F.collect_set("phrase").alias("_met"))
-    )
+    texts = df.select(F.col(row_id).alias("_row"), F.explode(words).alias("word"))
+    met = []
+    if kinds[0]:
+        named = listed.select("phrase", F.explode("words").alias("word"))
+        held = store(texts.join(hint_if_small(named.select("word").distinct()), "word"), "held")
+        often = held.groupBy("word").agg(F.count("*").alias("texts"))
+        # words that no text has anchor no phrase that any text could hold
+        rarest = named.join(often, "word", "left").groupBy("phrase").agg(
+            F.min_by("word", F.struct(F.coalesce("texts", F.lit(0)), "word")).alias("word"))
+        met.append(held.join(hint_if_small(rarest), "word").select("_row", "phrase"))
+    if kinds[1]:
+        parts = partial.withColumn("gram", F.col("part").substr(1, 3))
+        vocabulary = texts.select("word").distinct()
+        within = (
+            vocabulary.select("word", F.explode(_grams(F.col("word"))).alias("gram"))
+            .join(hint_if_small(parts), "gram").where(F.contains("word", "part")).select("phrase", "word").distinct()
+        )
+        met.append(texts.join(within, "word").select("_row", "phrase"))
+    if kinds[2] > SEARCHED:
+        # Blanks cannot anchor, since sentences are split at them: a phrase of blanks alone is met by every text.
+        marks = listed.where("part IS NULL").select(
+            "phrase", F.coalesce(F.regexp_substr("phrase", F.lit(NON_SPACE)), F.lit("")).substr(1, 1).alias("word"))
+        signs = F.array_distinct(F.split(F.regexp_replace(F.lower(text), rf"[{WORD}]+", ""), ""))
+        others = df.select(F.col(row_id).alias("_row"), F.explode(F.array_union(signs, F.array(F.lit("")))).alias("word"))
+        met.append(others.join(hint_if_small(marks), "word").select("_row", "phrase"))
+
+    none = F.array().cast("array<string>")
+    searched = none
+    if 0 < kinds[2] <= SEARCHED:
+        searched = F.coalesce(listed.where("part IS NULL").agg(F.collect_list("phrase")).scalar(), none)
+    found = df.withColumn("_searched", searched)
+    if met:
+        both = reduce(DataFrame.unionByName, met).groupBy("_row").agg(F.collect_set("phrase").alias("_met"))
+        found = found.join(both, F.col(row_id).eqNullSafe(F.col("_row")), "left").withColumn(
+            "_searched", F.concat("_searched", F.coalesce("_met", none))).drop("_met", "_row")
 
     def hit(_, low_sentence):
         return F.exists("_searched", lambda p: F.contains(low_sentence, p))
 
-    return (
-        df.join(met, F.col(row_id).eqNullSafe(F.col("_row")), "left")
-        .withColumn("_searched", F.coalesce("_met", F.array().cast("array<string>")))
-        .withColumn(name or text, drop_sentences(F.col(text), hit))
-        .drop("_met", "_searched", "_row")
-    )
+    return found.withColumn(name or text, F.when(F.size("_searched") > 0, drop_sentences(F.col(text), hit)).otherwise(
+        drop_sentences(F.col(text), lambda *_: F.lit(False)))).drop("_searched")
 
 
-def _longest(words):
-    return F.array_min(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))["w"]
+def _longest(words, n):
+    """The ``n`` longest distinct words, ties by word."""
+    ordered = F.sort_array(F.transform(F.array_distinct(words), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
+    return F.transform(F.slice(ordered, 1, n), lambda x: x["w"])
 
 
 def _grams(word):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side table is hinted for broadcast only after it was counted below this.
-BROADCAST_ROW_LIMIT = 200_000
+BROADCAST_ROW_LIMIT, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def build_session(master: str | None = None, app: str = "threadsieve", **conf) -> SparkSession:
@@ -58,10 +58,11 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.repartition(cores, key) if key else df.repartition(cores)
 
 
-def hint_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` when a bounded count proves it small, else leave the
+def hint_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` when a bounded look proves it small, in rows and in bytes written as JSON, else leave the
     join strategy to the optimizer (shuffle join, AQE skew handling)."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    seen = df.limit(limit + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if seen[0] <= limit and (seen[1] or 0) <= size else df
 
 
 def store(df: DataFrame, purpose: str) -> DataFrame:
