@@ -7,7 +7,7 @@ densification), so texts of few shingles keep unbiased signatures. ``ROWS`` bins
 in a whole band share its bucket.
 
 Texts of equal sets are one node, so exact copies never meet each other in a bucket. A bucket of few members gives all its
-pairs. A larger one gives the edges of a star: each member with the centre, the member that sits in the fullest buckets overall. Centres are compared
+pairs. A larger one gives the edges of a star: each member with a centre, a node that sits in the fullest buckets of all that the members know. Centres are compared
 with members on their full sets, which also yields how each member differs from its centre: the shingles added and
 those missing. Two members that share none of these differences are no more similar than the less similar of them is
 to the centre. So a link that the star does not show, between a member that failed and any other, needs
@@ -143,16 +143,22 @@ def compare(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         _compare(percent), "a long, b long, root_a long, root_b long, star boolean, linked boolean, n long, changes array<long>")
 
 
-def _pairs(live: DataFrame) -> DataFrame:
+def _pairs(live: DataFrame, first: bool) -> DataFrame:
     """``a, b, root_a, root_b, star``: what is to be compared where a link may still join two components.
 
-    A bucket of few members gives all its pairs and is done; a larger one each member with its centre.
+    A bucket of few members gives all its pairs and is done; a larger one each member with its fullest. In the ``first``
+    round, when all of a group meet in many buckets, one centre serves them: each node knows the fullest node of all its buckets, and
+    a bucket takes the fullest that a member knows, itself a member or not.
     """
     groups = live.groupBy("bucket").agg(
-        F.max(F.struct("pull", "_node", "root")).alias("centre"), F.min("root").alias("lo"), F.max("root").alias("hi"),
+        F.max(F.struct("pull", "_node", "root")).alias("top"), F.min("root").alias("lo"), F.max("root").alias("hi"),
         F.max("failed").alias("failed"), F.count("*").alias("members")).where("failed and lo <> hi")
-    chosen = groups.where(F.col("members") > FEW).select("bucket", "centre")
-    stars = live.join(chosen, "bucket").select(
+    large = live.join(groups.where(F.col("members") > FEW).select("bucket", "top"), "bucket")
+    if first:
+        known = large.groupBy("_node").agg(F.max("top").alias("top"))
+        large = large.drop("top").join(known, "_node")
+    chosen = large.groupBy("bucket").agg(F.max("top").alias("centre"))
+    stars = large.select("bucket", "_node", "root").join(chosen, "bucket").select(
         F.col("centre._node").alias("a"), F.col("_node").alias("b"), F.col("centre.root").alias("root_a"), F.col("root").alias("root_b"),
         F.lit(True).alias("star")).where("a <> b")
     small = live.join(groups.where(F.col("members") <= FEW).select("bucket"), "bucket").groupBy("bucket").agg(
@@ -213,7 +219,7 @@ def _links(nodes: DataFrame, texts_of, percent: int) -> DataFrame:
         live = store(live, "buckets")
         if edges is not None and live.isEmpty():
             return roots
-        checked = store(compare(_pairs(live), texts, percent), "checked")
+        checked = store(compare(_pairs(live, edges is None), texts, percent), "checked")
         found = checked.where("linked and root_a <> root_b").select("a", "b")
         if edges is None or not found.isEmpty():
             roots = components(found if edges is None else edges.unionByName(found))
