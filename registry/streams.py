@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registry import query
+from registry import SQL, query
 from registry.models import _bundle
 from registry.monitoring import LIMITS
 from registry.views import MODELS
@@ -38,21 +38,24 @@ def scored_stream(spark, d, model: str = "v0"):
     )
 
 
-@query("stream_score")
-def stream_score(spark, d):
-    model, threshold = _bundle(spark, d)
+def _requests(spark, d):
     body = F.to_json(F.struct(
         F.col("text").alias("email"), F.col("doc_id").cast("string").alias("snapshot_id"),
         F.expr("doc_id div 3").cast("string").alias("thread_id"), F.col("source").alias("gcid"),
         (F.lit(1672531200) + F.col("doc_id") * 60).alias("time"),
     ))
-    requests = stream(spark, d, "documents").select(
+    return stream(spark, d, "documents").select(
         F.when(F.col("doc_id") % 13 == 0, F.lit("{broken")).otherwise(body).alias("value"),
         F.lit("12345").alias("caller_id"),
         F.when(F.col("doc_id") % 7 == 0, "7").otherwise("u1234").alias("user_id"),
         F.concat(F.lit("r-"), F.col("doc_id").cast("string")).alias("request_id"),
     )
-    scored = scoring.score_requests(scoring.parse_requests(requests), model, threshold)
+
+
+@query("stream_score")
+def stream_score(spark, d):
+    model, threshold = _bundle(spark, d)
+    scored = scoring.score_requests(scoring.parse_requests(_requests(spark, d)), model, threshold)
     out = scored.select("request_id", "status", F.array_join("reasons", ",").alias("reasons"),
                         scoring.response_json(scored).alias("response"))
     path = finish(spark, out, "stream-score", "status")
@@ -96,3 +99,38 @@ def stream_latest(spark, d):
     path = scratch_path(spark, "stream-latest")
     scoring.write_report(latest, f"{path}/data", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/data")
+
+
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@query("stream_latest_changes", SQL["stream_latest"])
+def stream_latest_changes(spark, d):
+    """As ``stream_latest``, from the changes of each batch alone."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    path = scratch_path(spark, "stream-changes")
+    try:
+        messages = scored_stream(spark, d).select("thread_id", "snapshot_id", "time", F.col("snapshot_id").alias("message"))
+        changes = scoring.latest_changes(messages, ["message"])
+        scoring.write_batches(changes, f"{path}/data", f"{path}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, before)
+    latest = scoring.read_latest(spark.read.parquet(f"{path}/data"))
+    return latest.select("thread_id", F.col("message").alias("snapshot_id"))
+
+
+@query("stream_requests", """WITH r AS (SELECT 'r-' || CAST(doc_id AS VARCHAR) AS request_id,
+CASE WHEN doc_id % 7 = 0 THEN 'user_id' END AS b, CASE WHEN doc_id % 13 = 0 OR text IS NULL THEN 'body' END AS e FROM documents)
+SELECT request_id, CASE WHEN b IS NULL AND e IS NULL THEN 'accepted' ELSE 'rejected' END AS status, concat_ws(',', b, e) AS reasons,
+b IS NULL AND e IS NULL AS answered FROM r""")
+def stream_requests(spark, d):
+    """Requests of a stream by status and reasons; only accepted ones have an answer."""
+    model, threshold = _bundle(spark, d)
+    path = scratch_path(spark, "stream-requests")
+    scoring.route_requests(scoring.parse_requests(_requests(spark, d)), model, threshold, path, f"{path}/checkpoint").awaitTermination()
+    parts = [spark.read.parquet(f"{path}/{kind}").select("request_id", "status", "reasons", "response") for kind in ("accepted", "rejected")]
+    both = parts[0].unionByName(parts[1])
+    return both.select("request_id", "status", F.array_join("reasons", ",").alias("reasons"),
+                       F.get_json_object("response", "$.pred_1").isNotNull().alias("answered"))
