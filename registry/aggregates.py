@@ -171,16 +171,26 @@ def early_stop_epoch(spark, d):
 
 
 _PROFILED = ["event_id", "user_id", "event_type", "value"]
-_PROFILE_SQL = " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS \"distinct\", "
-    f"CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max, "
-    f"CASE WHEN count(DISTINCT {c}) = count(*) THEN 1 ELSE 0 END AS is_unique, "
-    f"CASE WHEN count(DISTINCT {c}) <= 20 THEN 1 ELSE 0 END AS is_categorical FROM events"
-    for c in _PROFILED
-)
+_EVERY = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+
+
+def _profile_sql(columns):
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS \"distinct\", "
+        f"CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max, "
+        f"CASE WHEN count(DISTINCT {c}) = count(*) THEN 1 ELSE 0 END AS is_unique, "
+        f"CASE WHEN count(DISTINCT {c}) <= 20 THEN 1 ELSE 0 END AS is_categorical FROM events"
+        for c in columns
+    )
+
+
+@query("schema_profile_all", _profile_sql(_EVERY))
+def schema_profile_all(spark, d):
+    """All columns, times and JSON texts too, from one scan."""
+    return distributions.exact_profile(table(spark, d, "events"), _EVERY).drop("type")
 
 
-@query("schema_profile", _PROFILE_SQL)
+@query("schema_profile", _profile_sql(_PROFILED))
 def schema_profile(spark, d):
     return distributions.profile(table(spark, d, "events"), _PROFILED, exact=True).drop("type")
 

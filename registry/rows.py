@@ -101,6 +101,15 @@ def apply_threshold(spark, d):
     )
 
 
+@query("bucket_length_all", rf"""SELECT doc_id AS snapshot_id, CASE WHEN text IS NULL THEN 'none' WHEN len(regexp_extract_all(text, '{tx.NON_SPACE}')) <= 512
+THEN '<=512' ELSE '>512' END AS bucket FROM documents""")
+def bucket_length_all(spark, d):
+    """With a bucket of their own for missing texts."""
+    docs = table(spark, d, "documents", "doc_id")
+    words = F.when(F.col("text").isNotNull(), tx.word_count(F.col("text")))
+    return docs.select(F.col("doc_id").alias("snapshot_id"), F.coalesce(rows.length_bucket(words), F.lit("none")).alias("bucket"))
+
+
 @query("bucket_length", rf"""SELECT doc_id AS snapshot_id, CASE WHEN len(regexp_extract_all(text, '{tx.NON_SPACE}')) <= 512
 THEN '<=512' ELSE '>512' END AS bucket FROM documents WHERE text IS NOT NULL""")
 def bucket_length(spark, d):
