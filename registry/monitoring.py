@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registry import query
-from registry.evaluation import metrics_sql
+from registry.evaluation import areas_sql, metrics_sql
 from registry.rows import ALIGNED, aligned
 from registry.views import EMAILS, SCORED, emails, r9, scored, scored_sql
 from threadsieve.functions import text as tx
@@ -51,6 +51,22 @@ def frozen_vs_refreshed(spark, d):
     return result.select("model", "n", "positives", "tp", "fp", "fn", r9("precision"), r9("recall"), r9("f1"))
 
 
+@query("frozen_vs_refreshed_areas", f"""WITH {SCORED}, {scored_sql('s1', 'v1')}, {calibrated_sql('b0', 'scored')}, {calibrated_sql('b1', 's1')},
+old AS (SELECT * FROM scored WHERE day(time) > 15), new AS (SELECT * FROM s1 WHERE day(time) > 15),
+pair AS (SELECT 'frozen' AS model, target, prob, (SELECT threshold FROM b0) AS threshold FROM old
+  UNION ALL SELECT 'refreshed', target, prob, (SELECT threshold FROM b1) FROM new),
+under AS (SELECT 'frozen' AS model, * FROM {areas_sql('old')} a UNION ALL SELECT 'refreshed', * FROM {areas_sql('new')} a)
+SELECT m.*, round(roc_auc, 9) AS roc_auc, round(pr_auc, 9) AS pr_auc FROM {metrics_sql('pair', 'prob > threshold', 'model')} m JOIN under USING (model)""")
+def frozen_vs_refreshed_areas(spark, d):
+    """The comparison with both areas under the curves."""
+    named = {"frozen": "v0", "refreshed": "v1"}
+    parts = [scored(spark, d, v).withColumns({"period": half(), "model": F.lit(name)}) for name, v in named.items()]
+    applied = monitoring.calibrate_and_apply(parts[0].unionByName(parts[1]), "period", MIN_RECALL, by=["model"])
+    result = evaluation.evaluate(applied.where("period = 1"), F.col("best_threshold"), by=["model"])
+    return result.select(
+        "model", "n", "positives", "tp", "fp", "fn", r9("precision"), r9("recall"), r9("f1"), r9("roc_auc"), r9("pr_auc"))
+
+
 LIMITS = {"v0": 0.4, "v1": 0.5, "v2": 0.3}
 
 

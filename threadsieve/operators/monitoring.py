@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadsieve.operators.evaluation import MIN_RECALL, _ratio, counts_above, threshold_for_recall
+from threadsieve.session import hint_if_small, store
 
 BASELINE = "lexicon search"
 
@@ -38,8 +39,9 @@ def calibrate_and_apply(
     by = by or []
     tuned = threshold_for_recall(df.where(F.col(target).isNotNull()), min_recall, prob, target, [*by, period])
     ready = tuned.select(*by, (F.col(period) + 1).alias(period), "best_threshold")
-    # One row per model and period.
-    return df.join(F.broadcast(ready), [*by, period])
+    # One row per period; of groups there may be many, so these are counted first.
+    side = hint_if_small(store(ready, "thresholds")) if by else F.broadcast(ready)
+    return df.join(side, [*by, period])
 
 
 def compare_models(df: DataFrame, models: dict[str, Column], target: str = "target", by: list[str] | None = None) -> DataFrame:
