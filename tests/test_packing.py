@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from threadsieve.operators import fuzzy, lexicon, packing
+from threadsieve.plans import corpus
 
 
 def test_parallel_lists_are_cut_alike(spark):
@@ -77,3 +78,16 @@ def test_phrase_sets_decide_as_the_plain_similarity():
             assert sets.similar(s, threshold) == plain, (s, threshold)
             hits += plain
         assert 0 < hits < 1500
+
+
+def test_splits_are_balanced_by_their_own_ratios(spark):
+    rows = [(i, kind, int(i % 10 == 0)) for i, kind in enumerate(["train", "val", "test"] * 40)]
+    df = spark.createDataFrame(rows, "snapshot_id long, data_type string, target int")
+    counts = df.groupBy("data_type", "target").count().collect()
+    own = {(r.data_type, r.target): r["count"] for r in counts}
+    for ratio, val_ratio, want in ((5, 20, (5, 20)), (5, "same", (5, 5)), (None, 2, (None, 2)), (3, None, (3, None)), (None, None, (None, None))):
+        got = {(r.data_type, r.target): r["count"] for r in corpus.balance(df, ratio, val_ratio=val_ratio).groupBy("data_type", "target").count().collect()}
+        for kind, wanted in zip(("train", "val"), want):
+            assert got[kind, 1] == own[kind, 1]
+            assert got[kind, 0] == (own[kind, 0] if wanted is None else wanted * own[kind, 1])
+        assert all(got["test", t] == own["test", t] for t in (0, 1))

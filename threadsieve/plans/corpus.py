@@ -53,13 +53,17 @@ def clean_texts(
     return df.withColumn("preprocessed_email", tx.clean(text, stop_words))
 
 
-def balance(df: DataFrame, ratio: int, seed: int = 101) -> DataFrame:
-    """Undersample the negatives of train and val; the test rows stay as they are."""
-    parts = [
-        sampling.undersample_ratio(df.where(F.col("data_type") == kind), ratio, seed) for kind in ("train", "val")
-    ]
-    rest = df.where("data_type = 'test'").withColumn("draw", F.lit(None).cast("long"))
-    return parts[0].unionByName(parts[1]).unionByName(rest)
+def balance(df: DataFrame, ratio: int | None, seed: int = 101, val_ratio: int | None | str = "same") -> DataFrame:
+    """Undersample the negatives of train by ``ratio`` and those of val by ``val_ratio``, by default the same.
+
+    A split whose ratio is None stays as it is, and so do the test rows.
+    """
+    ratios = {"train": ratio, "val": ratio if val_ratio == "same" else val_ratio, "test": None}
+    parts = []
+    for kind, wanted in ratios.items():
+        own = df.where(F.col("data_type") == kind)
+        parts.append(own.withColumn("draw", F.lit(None).cast("long")) if wanted is None else sampling.undersample_ratio(own, wanted, seed))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def monthly_labels(df: DataFrame, start: str, end: str) -> DataFrame:
