@@ -35,7 +35,9 @@ from threadsieve.session import store
 BANDS, ROWS, WORDS = 32, 6, 5
 BINS = BANDS * ROWS
 # A bucket of up to this many members is compared pair by pair.
-FEW = 8
+FEW = 32
+# Rounds in which the buckets of a group share a centre.
+SHARED_CENTRES = 2
 # Members of a star in which frequent differences are looked for, and those that make one frequent. Any order is exact.
 LOOKED_AT, OFTEN = 32, 3
 _EDGES = (np.arange(BINS + 1, dtype=object) * (1 << 64) // BINS)
@@ -143,18 +145,18 @@ def compare(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         _compare(percent), "a long, b long, root_a long, root_b long, star boolean, linked boolean, n long, changes array<long>")
 
 
-def _pairs(live: DataFrame, first: bool) -> DataFrame:
+def _pairs(live: DataFrame, shared: bool) -> DataFrame:
     """``a, b, root_a, root_b, star``: what is to be compared where a link may still join two components.
 
-    A bucket of few members gives all its pairs and is done; a larger one each member with its fullest. In the ``first``
-    round, when all of a group meet in many buckets, one centre serves them: each node knows the fullest node of all its buckets, and
+    A bucket of few members gives all its pairs and is done; a larger one each member with its fullest. In the first
+    rounds (``shared``), when all of a group meet in many buckets, one centre serves them: each node knows the fullest node of all its buckets, and
     a bucket takes the fullest that a member knows, itself a member or not.
     """
     groups = live.groupBy("bucket").agg(
         F.max(F.struct("pull", "_node", "root")).alias("top"), F.min("root").alias("lo"), F.max("root").alias("hi"),
         F.max("failed").alias("failed"), F.count("*").alias("members")).where("failed and lo <> hi")
     large = live.join(groups.where(F.col("members") > FEW).select("bucket", "top"), "bucket")
-    if first:
+    if shared:
         known = large.groupBy("_node").agg(F.max("top").alias("top"))
         large = large.drop("top").join(known, "_node")
     chosen = large.groupBy("bucket").agg(F.max("top").alias("centre"))
@@ -214,12 +216,12 @@ def _links(nodes: DataFrame, texts_of, percent: int) -> DataFrame:
     texts = store(texts_of(live.select("_node").distinct()), "texts")
     fullness = live.groupBy("_node").agg(F.sum("n").alias("pull"))
     live = live.join(fullness, "_node").select("bucket", "_node", F.col("_node").alias("root"), "pull", F.lit(True).alias("failed"))
-    edges = None
+    edges, rounds = None, 0
     while True:
         live = store(live, "buckets")
         if edges is not None and live.isEmpty():
             return roots
-        checked = store(compare(_pairs(live, edges is None), texts, percent), "checked")
+        checked = store(compare(_pairs(live, rounds < SHARED_CENTRES), texts, percent), "checked")
         found = checked.where("linked and root_a <> root_b").select("a", "b")
         if edges is None or not found.isEmpty():
             roots = components(found if edges is None else edges.unionByName(found))
@@ -227,6 +229,7 @@ def _links(nodes: DataFrame, texts_of, percent: int) -> DataFrame:
             known = roots.select(F.col("node").alias("b"), "root")
             checked = checked.join(known, "b", "left").withColumn("root_b", F.coalesce("root", "b")).drop("root")
         live = _next_buckets(checked.where("star"), percent)
+        rounds += 1
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
