@@ -78,7 +78,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
     return suffixes.without_repeats(read(spark, sf_dir, "documents")).select(
-        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.octet_length("kept").cast("long").alias("kept_bytes"))
 
 
 @query
