@@ -197,3 +197,25 @@ def test_one_class_no_rows_and_no_validation(spark, points):
     empty = trees.train_gbt(df.limit(0), rounds=2)
     assert trees.score(empty, df).agg(F.min(trees.PROB), F.max(trees.PROB)).first()[0] == 0.5
     assert trees.train_gbt(df.where("not is_val"), validation="is_val", rounds=2).size == 2
+
+
+def test_scoring_makes_a_vector_once_and_ends_at_leaves(spark):
+    binning = growth.Binning([[-1.0, 0.0, 1.0]] * 5)
+    deep, flat = growth.Tree(), growth.Tree(value=[0.25])
+    deep.split(deep.split(0, 3, 1, (-0.5, 0.75))[1], 1, 2, (0.5, 2.0))
+    model = growth.TreesModel.of([deep, flat], binning, "mean")
+    data = [[0, 0, 0, 0, 0], [9, 2, 9, 0.5, 9], [9, 1, 9, 0.5, 9], [0, float("nan"), 0, float("inf"), 0], [0, 5, 0, -0.5, 0]]
+    frame = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(data)], ["id", "dense"])
+    made = F.udf(lambda v: Vectors.sparse(5, [(i, x) for i, x in enumerate(v) if x]), frame.schema["dense"].dataType)
+    for features in (F.col("dense"), made("dense")):
+        scored = trees.score(model, frame.select("id", features.alias("features")))
+        assert {r.id: r.prob_pred for r in scored.collect()} == {0: -0.125, 1: 1.125, 2: 0.375, 3: 1.125, 4: -0.125}
+    # a lambda that asks for the vector makes it again at every node
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
+
+
+def test_scoring_without_a_split(spark):
+    frame = spark.createDataFrame([(Vectors.sparse(3, []),), (Vectors.dense([1.0, 2.0, 3.0]),)], ["features"])
+    model = growth.TreesModel.of([growth.Tree(value=[0.5])], growth.Binning([[0.0]] * 3), "mean")
+    assert [r.prob_pred for r in trees.score(model, frame).collect()] == [0.5, 0.5]

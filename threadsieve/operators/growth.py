@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext, keyword_only
 from pyspark.ml import Model
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -244,10 +244,48 @@ def found_splits(rows: list[tuple]) -> pa.Table:
 SPLITS = ", ".join(f"{name} {'int' if kind == 'int32' else 'double'}" for name, kind in BEST)
 
 
+def tree_sums(parts: dict) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    """The sum of the trees' values, in their order, for rows given as indices and values of vectors."""
+    roots, left, feature = (np.array(parts[name], np.int64) for name in ("roots", "left", "feature"))
+    threshold, value = (np.array(parts[name], np.float64) for name in ("threshold", "value"))
+    inner = left != np.arange(len(left))
+    # only features that a node asks for are laid out
+    used = np.unique(feature[inner])
+    feature = np.where(inner, np.searchsorted(used, feature), 0)
+    at_once = max(1, CELLS_AT_ONCE // 8 // max(len(used), 1))
+
+    def sums(indices: pa.Array, values: pa.Array) -> pa.Array:
+        if indices.null_count:
+            raise ValueError("a row has no feature vector")
+        out = [np.zeros(0)]
+        for at in range(0, len(indices), at_once):
+            i, v = indices.slice(at, at_once), values.slice(at, at_once)
+            row = np.repeat(np.arange(len(i)), i.value_lengths().to_numpy(zero_copy_only=False))
+            column, cell = (c.flatten().to_numpy(zero_copy_only=False) for c in (i, v))
+            place = np.searchsorted(used, column)
+            asked = np.flatnonzero(used[np.minimum(place, len(used) - 1)] == column) if len(used) else []
+            x = np.zeros((len(i), max(len(used), 1)))
+            x[row[asked], place[asked]] = cell[asked]
+            total, every = np.zeros(len(i)), np.arange(len(i))
+            for root in roots:
+                node = np.full(len(i), root)
+                for _ in range(parts["depth"]):
+                    on = inner[node]
+                    if not on.any():
+                        break
+                    # as in Spark, NaN is above every threshold
+                    node = np.where(on, left[node] + ~(x[every, feature[node]] <= threshold[node]), node)
+                total += value[node]
+            out.append(total)
+        return pa.array(np.concatenate(out))
+
+    return sums
+
+
 class TreesModel(Model, HasFeaturesCol, DefaultParamsReadable, DefaultParamsWritable):
     """A sum (``logistic``) or mean (``mean``) of trees over a vector column; adds ``probability`` and ``prediction``.
 
-    Scoring is one native expression over the trees as arrays.
+    Scoring walks the trees for a batch of rows at once, over the cells of each row's vector.
     """
 
     trees = Param(Params._dummy(), "trees", "JSON: roots, left, feature, threshold, value, depth", TypeConverters.toString)
@@ -281,20 +319,11 @@ class TreesModel(Model, HasFeaturesCol, DefaultParamsReadable, DefaultParamsWrit
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         parts = json.loads(self.getOrDefault(self.trees))
-
-        def listed(name: str, kind: str) -> Column:
-            return F.from_json(F.lit(json.dumps(parts[name])), f"array<{kind}>")
-
-        left, feature, threshold, value = listed("left", "int"), listed("feature", "int"), listed("threshold", "double"), listed("value", "double")
-        levels = F.sequence(F.lit(1), F.lit(parts["depth"]))
-
-        def leaf(root: Column) -> Column:
-            return F.aggregate(levels, root, lambda node, _: F.get(left, node) + F.when(
-                F.get("_x", F.get(feature, node)) > F.get(threshold, node), 1).otherwise(0))
-
-        total = F.aggregate(listed("roots", "int"), F.lit(0.0), lambda sum_, root: sum_ + F.get(value, leaf(root)))
+        # Python reads the cells of a vector once per row; in a native lambda the vector would be made again at every node.
+        indices, values = cells(self.getFeaturesCol())
+        total = F.arrow_udf(tree_sums(parts), "double")(indices, values)
         logistic = self.getOrDefault(self.combine) == "logistic"
-        p = 1 / (1 + F.exp(-total)) if logistic else total / max(len(parts["roots"]), 1)
-        scored = dataset.withColumn("_x", vector_to_array(self.getFeaturesCol())).withColumn("_p", p)
+        p = 1 / (1 + F.exp(-F.col("_total"))) if logistic else F.col("_total") / max(len(parts["roots"]), 1)
+        scored = dataset.withColumn("_total", total).withColumn("_p", p)
         return scored.withColumn("probability", array_to_vector(F.array(1 - F.col("_p"), F.col("_p")))).withColumn(
-            "prediction", (F.col("_p") > 0.5).cast("double")).drop("_x", "_p")
+            "prediction", (F.col("_p") > 0.5).cast("double")).drop("_total", "_p")
