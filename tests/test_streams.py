@@ -55,3 +55,15 @@ def test_changes_out_of_order_equal_the_batch_result(spark, tmp_path):
     got = {r.thread_id: r.message for r in scoring.read_latest(changes).collect()}
     want = {r.thread_id: r.snapshot_id for r in threads.latest_per_thread(spark.createDataFrame(data, schema)).collect()}
     assert got == want and len(got) == 12
+
+
+def test_a_table_of_parts_is_streamed_like_one_file(spark, tmp_path):
+    from registry import streams
+
+    table = spark.createDataFrame([(i, f"text {i}", "en", "s", 6) for i in range(30)], streams.TABLES["documents"])
+    table.repartition(3).write.parquet(str(tmp_path / "parts" / "documents.parquet"))
+    (tmp_path / "one").mkdir()
+    table.toPandas().to_parquet(tmp_path / "one" / "documents.parquet")
+    for kind in ("parts", "one"):
+        found = spark.read.parquet(streams.finish(spark, streams.stream(spark, str(tmp_path / kind), "documents"), kind))
+        assert sorted(r.doc_id for r in found.collect()) == list(range(30))
