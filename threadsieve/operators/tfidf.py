@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer, VectorAssembler,
@@ -10,15 +15,53 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadsieve.functions.text import TERM, run_lengths, terms, with_bigrams
+from threadsieve.functions.text import TERM, terms
 
 TEXT = "preprocessed_email"
 
 
+# Rows whose words a task counts at once.
+ROWS_AT_ONCE = 1000
+
+
+def gram_counts(words: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct 1- and 2-grams of lists of words, and for each list and gram of it the list's place, the gram's place and its count."""
+    sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(words)), sizes)
+    coded = words.flatten().dictionary_encode()
+    known, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    width = max(len(known), 1)
+    left = np.flatnonzero(row[1:] == row[:-1])
+    pairs, pair = np.unique(code[left] * width + code[left + 1], return_inverse=True)
+    first, second = np.divmod(pairs, width)
+    joined = pc.binary_join_element_wise(known.take(pa.array(first)), known.take(pa.array(second)), pa.scalar(" ", known.type))
+    grams = pa.concat_arrays([known, joined])
+    each = max(len(grams), 1)
+    cells, n = np.unique(np.append(row * each + code, row[left] * each + len(known) + pair), return_counts=True)
+    return grams, *np.divmod(cells, each), n
+
+
+def _rows_of_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for at in range(0, len(whole), ROWS_AT_ONCE)):
+            grams, row, gram, n = gram_counts(batch.column(1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), grams.take(pa.array(gram)), pa.array(n, pa.int32())], names=[batch.schema.names[0], "term", "n"])
+
+
+def _sums_of_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for at in range(0, len(whole), ROWS_AT_ONCE)):
+            grams, _, gram, n = gram_counts(batch.column(0))
+            tf, df = np.zeros(len(grams), np.int64), np.bincount(gram, minlength=len(grams))
+            np.add.at(tf, gram, n)
+            yield pa.RecordBatch.from_arrays([grams, pa.array(tf), pa.array(df, pa.int64())], names=["term", "tf", "df"])
+
+
 def term_counts(df: DataFrame, text: str = TEXT, row_id: str = "snapshot_id", stop_words: list[str] | None = None) -> DataFrame:
-    """(row, term, n) for 1- and 2-grams, counted inside each row."""
-    grams = with_bigrams(terms(F.col(text), stop_words))
-    return df.select(row_id, F.inline(run_lengths(grams)))
+    """(row, term, n) for 1- and 2-grams, counted inside each row: words are made by Spark, once per text, and counted in batches."""
+    rows = df.select(row_id, terms(F.col(text), stop_words).alias("_words"))
+    return rows.mapInArrow(_rows_of_grams, rows.select(row_id).schema.add("term", "string").add("n", "integer"))
 
 
 def vocabulary(
@@ -30,13 +73,14 @@ def vocabulary(
     Terms in fewer than ``min_df`` documents or in more than the share
     ``max_df`` of them are left out; of the rest the ``max_features`` with the
     highest corpus count are kept, ties by term. One shuffle, on the term, after
-    map-side sums: a frequent term ships one row per task.
+    sums over batches and tasks: a frequent term ships one row per task.
     """
     documents = df.select(F.count("*").alias("n")).scalar()
     fitted = (
-        term_counts(df, text, row_id, stop_words)
+        df.select(terms(F.col(text), stop_words).alias("_words"))
+        .mapInArrow(_sums_of_grams, "term string, tf long, df long")
         .groupBy("term")
-        .agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+        .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
         .withColumn("documents", documents)
         .where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("documents")))
         .select("term", "tf", "df", (F.log((1 + F.col("documents")) / (1 + F.col("df"))) + 1).alias("idf"))
