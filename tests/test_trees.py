@@ -219,3 +219,27 @@ def test_scoring_without_a_split(spark):
     frame = spark.createDataFrame([(Vectors.sparse(3, []),), (Vectors.dense([1.0, 2.0, 3.0]),)], ["features"])
     model = growth.TreesModel.of([growth.Tree(value=[0.5])], growth.Binning([[0.0]] * 3), "mean")
     assert [r.prob_pred for r in trees.score(model, frame).collect()] == [0.5, 0.5]
+
+
+def test_margins_walk_only_new_trees(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 4, (50, 3)).astype(np.uint8)
+    block = growth.Block(3, x, np.zeros(50), np.ones(50), np.zeros(50, bool), rng.normal(size=50))
+    grown = [growth.Tree() for _ in range(4)]
+    for i, tree in enumerate(grown):
+        tree.split(0, i % 3, 1, (0.1 * i - 0.3, 0.7))
+    walked, walk = [], growth.Tree.walk
+    monkeypatch.setattr(growth.Tree, "walk", lambda self, x: walked.append(self) or walk(self, x))
+    for n in (1, 1, 3, 4, 2):
+        assert (boosting.margins(block, grown[:n], 10, "one") == boosting.margins(block, grown[:n])).all()
+    # 1, 2, 1 new ones; fewer trees than kept are walked again from those just made
+    assert len(walked) == (1 + 1 + 3 + 4 + 2) + 1 + 0 + 2 + 1 + 2
+    # margins of another training, or from before the stored ones, do not count
+    assert (boosting.margins(block, grown[:1], 10, "two") == boosting.margins(block, grown[:1])).all()
+    assert (boosting.margins(block, grown[:1], 40, "two") == boosting.margins(block, grown[:1])).all()
+
+
+def test_features_of_many_nodes_are_those_of_each():
+    nodes = list(range(5, 5 + 2 * growth.NODES_AT_ONCE + 1))
+    got = growth.chosen_features(7, 2, nodes, 40, 6)
+    assert (got == np.concatenate([growth.chosen_features(7, 2, [n], 40, 6) for n in nodes])).all()

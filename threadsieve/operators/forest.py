@@ -65,20 +65,21 @@ class Forest:
 
     def _pass(self, numbers: list[int], frontiers: dict[int, list[int]]) -> list[dict]:
         width, some, seed, folds, each, rates = len(self.binning.thresholds), self.some, self.seed, self.folds, self.each, self.rates
-        sent = self.blocks.sparkSession.sparkContext.broadcast({n: (self.trees[n], frontiers[n]) for n in numbers})
+        # each node's features are drawn once, not for every block in every task
+        sent = self.blocks.sparkSession.sparkContext.broadcast({
+            n: (self.trees[n], frontiers[n], growth.chosen_features(seed, n, frontiers[n], width, some).astype(np.int32)) for n in numbers})
 
         def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
             for block in growth.read_blocks(batches, width):
                 own = fold_of(block, folds, seed)
-                for number, (tree, frontier) in sent.value.items():
+                for number, (tree, frontier, features) in sent.value.items():
                     weight = bag(block, number, rates, seed)
                     weight[own == number // each] = 0
                     row = np.flatnonzero(weight)
                     slots = np.full(len(tree.left), -1)
                     slots[frontier] = np.arange(len(frontier))
                     slot = slots[tree.walk(block.x[row])]
-                    features = growth.chosen_features(seed, number, frontier, width, some)
                     hist = growth.histogram_of(block.x[row], slot, features, weight[row] * block.y[row], weight[row].astype(float))
                     sums[number] = sums[number] + hist if number in sums else hist
             rows = []
@@ -97,7 +98,7 @@ class Forest:
                 data = cell.as_py()
                 n = len(data) // 20
                 hist[np.frombuffer(data, "<i4", n)] += np.frombuffer(data, "<f8", offset=4 * n).reshape(n, 2)
-            features = growth.chosen_features(seed, number, sent.value[number][1], width, some)
+            features = sent.value[number][2]
             found = growth.best_splits(hist.reshape(k, m, growth.BINS, 2), 0.0, 1.0)
             return growth.found_splits([(number, s, features[s, f], b, *rest) for s, f, b, *rest in found])
 

@@ -29,6 +29,8 @@ BINS = 16
 BLOCK_ROWS = 4096
 # Bytes of bin numbers per partition, features per part of a shuffle, histogram cells that a task holds at once.
 PARTITION_BYTES, FEATURES_AT_ONCE, CELLS_AT_ONCE = 32 << 20, 256, 1 << 24
+# Nodes whose features are drawn together, so that the ranks stay in a processor's cache.
+NODES_AT_ONCE = 64
 # Bytes of histograms, from all tasks together, that the driver adds up itself.
 DRIVER_BYTES = 16 << 20
 EXACT = float(1 << 20)
@@ -183,20 +185,31 @@ def totals_of(slot: np.ndarray, k: int, g: np.ndarray, h: np.ndarray) -> np.ndar
 def histogram(x: np.ndarray, slot: np.ndarray, k: int, g: np.ndarray, h: np.ndarray, zero: np.ndarray, bins: int = BINS) -> np.ndarray:
     """Sums by (node, feature, bin) over all features; rows of slot -1 do not count. Cells that hold a zero are not visited."""
     width = x.shape[1]
-    row, column = np.divmod(np.flatnonzero(x != zero), width)
-    counted = slot[row] >= 0
-    row, column = row[counted], column[counted]
-    at = (slot[row] * width + column) * bins + x[row, column]
-    out = np.stack([np.bincount(at, v[row], k * width * bins) for v in (g, h)], axis=-1).reshape(k, width, bins, 2)
     some = slot >= 0
-    out[:, np.arange(width), zero] = totals_of(slot[some], k, g[some], h[some])[:, None] - out.sum(axis=2)
+    full = np.flatnonzero((x != zero).ravel())
+    row = full // width if len(full) >= 1 << 31 else (full.astype(np.uint32) // np.uint32(width)).astype(np.int64)
+    # (node, feature) as one number: the cell's place moved from its row to its row's node
+    shift = (slot - np.arange(len(x))) * width
+    at = (full + shift[row]) * bins + x.ravel()[full]
+    if not some.all():
+        counted = some[row]
+        row, at = row[counted], at[counted]
+    out = np.empty((k, width, bins, 2))
+    zeros = np.arange(width), zero
+    for i, v in enumerate((g, h)):
+        sums = np.bincount(at, v[row], k * width * bins).reshape(k, width, bins)
+        sums[:, *zeros] = np.bincount(slot[some], v[some], k)[:, None] - sums.sum(axis=2)
+        out[..., i] = sums
     return out
 
 
 def chosen_features(seed: int, tree: int, nodes: list[int], width: int, m: int) -> np.ndarray:
     """``m`` features for each node, the same in every task."""
-    rank = hashed(seed, tree, np.array(nodes)[:, None], np.arange(width)[None, :])
-    return np.sort(np.argpartition(rank, min(m, width) - 1, axis=1)[:, :m], axis=1)
+    out = []
+    for at in range(0, len(nodes), NODES_AT_ONCE):
+        rank = hashed(seed, tree, np.array(nodes[at:at + NODES_AT_ONCE])[:, None], np.arange(width)[None, :])
+        out.append(np.sort(np.argpartition(rank, min(m, width) - 1, axis=1)[:, :m], axis=1))
+    return np.concatenate(out)
 
 
 def histogram_of(x: np.ndarray, slot: np.ndarray, features: np.ndarray, g: np.ndarray, h: np.ndarray, bins: int = BINS) -> np.ndarray:
