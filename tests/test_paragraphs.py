@@ -94,3 +94,40 @@ def test_thresholds_and_empty_table(spark):
     assert paragraphs.drop_similar_paragraphs(df).count() == 0
     with pytest.raises(ValueError):
         paragraphs.superseded(df.select(F.lit(1).alias("doc"), F.lit(1).alias("place")), 0.9)
+
+
+def test_pairs_of_a_large_document_grow_with_its_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    compared, store = [], paragraphs.store
+
+    def counted(df, purpose):
+        out = store(df, purpose)
+        if purpose == "blocks":
+            sizes = out.groupBy("doc", "block").agg(F.max("size").alias("n"))
+            compared.append(sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0])
+        return out
+
+    monkeypatch.setattr(paragraphs, "store", counted)
+    n = 8000
+    base = rng.normal(size=(n, 24))
+    base[: n // 20] = base[-(n // 20):] + rng.normal(size=(n // 20, 24)) * 0.1
+    df = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(base)], "d long, n long, v array<double>").repartition(4)
+    got = {r.n for r in paragraphs.drop_similar_vectors(df, "d", "n", "v").select("n").collect()}
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    similar = np.triu(unit @ unit.T > 0.98, 1).any(1)
+    assert got == set(np.flatnonzero(~similar).tolist()) and similar.sum() > n // 25
+    # blocks of 12 bits have 818,452 pairs here
+    assert compared[0] < 40 * n
+
+
+def test_levels_miss_no_more_than_the_first():
+    miss = {b: (1 - paragraphs._SIDE**b) ** n for b, n in paragraphs.LEVELS.items()}
+    assert paragraphs.LEVELS[paragraphs.BITS] == paragraphs.BANDS and max(miss.values()) == miss[paragraphs.BITS] < 4e-11
+    ids = np.tile(np.arange(16), 30)
+    values, sizes = np.random.default_rng(6).normal(size=480), np.full(30, 16)
+    for bits, bands in paragraphs.LEVELS.items():
+        numbers = paragraphs.block_numbers(ids, values, sizes, bits)
+        assert numbers.shape == (30, bands) and (numbers >> bits == np.arange(bands)).all()
+        # vectors over different ids take the other way to the same numbers
+        apart = np.concatenate([ids, np.arange(1000, 1200)]), np.concatenate([values, np.ones(200)]), np.append(sizes, 200)
+        assert (paragraphs.block_numbers(*apart, bits)[:30] != numbers).mean() < 0.01

@@ -2,12 +2,15 @@
 
 Vectors are sparse rows of a table, one per paragraph: word counts, or whatever the caller supplies. Equal vectors are settled by
 grouping. The others get blocks inside their document, bits of the sides of random hyperplanes they lie on; a pair at the
-threshold 0.98 shares none of them with probability 3e-11. Paragraphs meet the later ones of their blocks, the nearest first and more
-in each round, until a similar one is found or none is left; only vectors that share a block are multiplied out.
+threshold 0.98 shares none of them with probability 3e-11. A document of many vectors gets blocks of more bits, and more of them for the same
+probability, so that the pairs of its blocks grow as its vectors do. Paragraphs meet the later ones of their blocks, the nearest first and more
+in each round, until a similar one is found or none is left; only vectors that share a block, and whose sides of further
+hyperplanes differ no more than similar ones may (missed with probability 6e-15), are multiplied out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +20,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from threadsieve.functions import text as tx
-from threadsieve.session import store
+from threadsieve.session import hint_if_small, store
 
+# A pair at 0.98 lies on one side of a hyperplane with probability ``_SIDE``, and shares no block of 40 of 12 bits with 3e-11.
+_SIDE = 1 - math.acos(0.98) / math.pi
 BANDS, BITS = 40, 12
-# Vector entries whose projections a task makes at once.
+# Bits of a block that a document may choose from, and the bands that miss a pair as rarely as 40 of 12 bits.
+LEVELS = {b: math.ceil(BANDS * math.log1p(-(_SIDE**BITS)) / math.log1p(-(_SIDE**b))) for b in range(BITS, 33, 2)}
+# Documents of up to this many vectors take the first level.
+FIRST_LEVEL = 512
+# Further hyperplanes of a vector, and on how many of them a similar pair may lie on different sides.
+SKETCH, APART = 256, 56
+_SKETCH_FROM, _TRIAL_FROM = 1 << 20, 1 << 21
+# Vector entries whose projections a task makes at once, at the first level.
 ENTRIES_AT_ONCE = 20_000
 # Later members of a block that a paragraph meets in the first round, and how many times more in each next one.
 FIRST_ROUND, GROWTH = 16, 4
@@ -28,44 +40,91 @@ FIRST_ROUND, GROWTH = 16, 4
 IN_ROW = 64
 
 
-def projections(ids: np.ndarray) -> np.ndarray:
+def projections(ids: np.ndarray, first: int = 1, count: int = BANDS * BITS) -> np.ndarray:
     """A near-normal number for each id and bit, from a hash: the sum of its eight bytes."""
-    x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, BANDS * BITS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(first, first + count, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     x = x ^ (x >> np.uint64(31))
     return x.view(np.uint8).reshape(*x.shape, 8).sum(axis=2, dtype=np.int32).astype(np.float32) - 1020.0
 
 
-def block_numbers(ids: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """One number per band for each vector, ``sizes`` entries after another."""
-    out = np.zeros((len(sizes), BANDS), np.int64)
-    ends = np.cumsum(sizes)
-    at = 0
+def sides(ids: np.ndarray, values: np.ndarray, sizes: np.ndarray, first: int, count: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Vectors, by their places, and the side of each of ``count`` hyperplanes they lie on; ``sizes`` entries after another."""
+    ends, at, most = np.cumsum(sizes), 0, max(1, ENTRIES_AT_ONCE * BANDS * BITS // count)
     while at < len(sizes):
         done = ends[at] - sizes[at]
-        end = max(at + 1, int(np.searchsorted(ends, done + ENTRIES_AT_ONCE, side="right")))
+        end = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
         here = slice(done, ends[end - 1])
         known, place = np.unique(ids[here], return_inverse=True)
-        sides = projections(known)[place] * values[here, None].astype(np.float32)
         filled = np.flatnonzero(sizes[at:end])
-        starts = (ends - sizes)[at:end][filled] - done
         if len(filled):
-            bits = np.add.reduceat(sides, starts, axis=0) > 0
-            packed = bits.reshape(len(filled), BANDS, BITS) @ (1 << np.arange(BITS))
-            out[at + filled] = packed + (np.arange(BANDS) << BITS)
+            normals, own = projections(known, first, count), values[here].astype(np.float32)
+            if len(filled) * len(known) <= 4 * len(own):
+                # vectors over the same ids, as supplied ones are, are one product
+                row = np.repeat(np.arange(len(filled)), sizes[at:end][filled])
+                table = np.zeros((len(filled), len(known)), np.float32)
+                np.add.at(table, (row, place), own)
+                yield at + filled, table @ normals > 0
+            else:
+                starts = (ends - sizes)[at:end][filled] - done
+                yield at + filled, np.add.reduceat(normals[place] * own[:, None], starts, axis=0) > 0
         at = end
+
+
+def block_numbers(ids: np.ndarray, values: np.ndarray, sizes: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """One number per band for each vector, ``sizes`` entries after another."""
+    bands = LEVELS[bits]
+    out = np.zeros((len(sizes), bands), np.int64)
+    for at, side in sides(ids, values, sizes, 1, bands * bits):
+        out[at] = side.reshape(len(at), bands, bits) @ (1 << np.arange(bits)) + (np.arange(bands) << bits)
     return out
 
 
+def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, values = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "values"))
+    return ids, values, batch.column("ids").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, values = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "values"))
-        sizes = batch.column("ids").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        numbers = block_numbers(ids, values, sizes)
-        offsets = pa.array(np.arange(0, numbers.size + 1, BANDS, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc"), batch.column("place"), pa.ListArray.from_arrays(offsets, pa.array(numbers.ravel()))], names=["doc", "place", "blocks"])
+        levels = batch.column("bits").to_numpy()
+        for bits in np.unique(levels):
+            own = batch.filter(pa.array(levels == bits))
+            ids, values, sizes = _lists(own)
+            numbers = block_numbers(ids, values, sizes, int(bits))
+            sketch = np.zeros((len(own), SKETCH // 64), np.int64)
+            for at, side in sides(ids, values, sizes, _SKETCH_FROM, SKETCH):
+                sketch[at] = np.packbits(side, axis=1).view(np.int64)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel())) for x in (numbers, sketch)]
+            yield pa.RecordBatch.from_arrays([own.column("doc"), own.column("place"), *lists], names=["doc", "place", "blocks", "sketch"])
+
+
+def _trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    most = max(LEVELS)
+    for batch in batches:
+        ids, values, sizes = _lists(batch)
+        out = np.zeros(len(batch), np.int64)
+        for at, side in sides(ids, values, sizes, _TRIAL_FROM, most):
+            out[at] = side @ (1 << np.arange(most))
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out)], names=["doc", "block"])
+
+
+def block_bits(vectors: DataFrame) -> DataFrame:
+    """``doc, bits`` of documents that need more than the first level: the level whose bands have the fewest members and pairs.
+
+    The pairs of every level are counted in one block of each vector, made for this alone. Documents of near copies keep their pairs at
+    any level; they meet few of them, since a similar one ends the search.
+    """
+    large = vectors.groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") > FIRST_LEVEL)
+    large = hint_if_small(store(large, "large").select(F.col("doc").alias("_d"), "n"))
+    some = vectors.join(large, F.col("doc") == F.col("_d")).select("doc", "ids", "values")
+    tried = some.mapInArrow(_trial, some.select("doc").schema.add("block", LongType()))
+    levels = F.explode(F.array(*[F.struct(F.lit(b).alias("bits"), F.col("block").bitwiseAND(F.lit((1 << b) - 1)).alias("block")) for b in LEVELS]))
+    full = tried.select("doc", levels.alias("l")).groupBy("doc", "l.bits", "l.block").agg(F.count("*").cast("double").alias("n"))
+    bands = F.element_at(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv]), F.col("bits"))
+    costs = full.groupBy("doc", "bits").agg(F.sum(F.col("n") * (F.col("n") + 1) / 2).alias("rows"))
+    return costs.groupBy("doc").agg(F.min_by("bits", F.struct(bands * F.col("rows"), "bits")).alias("bits"))
 
 
 def _similar(threshold: float):
@@ -111,22 +170,25 @@ def superseded(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     own = store(rows.join(last.select(F.col("doc").alias("_d"), F.col("same").alias("_s"), "last"),
                           (F.col("doc") == F.col("_d")) & (F.col("same") == F.col("_s")) & (F.col("place") == F.col("last")))
                 .select("doc", "place", "ids", "values", "norm"), "paragraphs")
-    blocks = own.select("doc", "place", "ids", "values").mapInArrow(
-        _blocks, own.select("doc", "place").schema.add("blocks", ArrayType(LongType())))
-    members = blocks.select("doc", "place", F.explode("blocks").alias("block"))
+    levels = hint_if_small(store(block_bits(own), "bits").select(F.col("doc").alias("_d"), "bits"))
+    leveled = own.join(levels, F.col("doc") == F.col("_d"), "left").select("doc", "place", "ids", "values", F.coalesce("bits", F.lit(BITS)).alias("bits"))
+    blocks = leveled.mapInArrow(
+        _blocks, own.select("doc", "place").schema.add("blocks", ArrayType(LongType())).add("sketch", ArrayType(LongType())))
+    members = blocks.select("doc", "place", F.explode("blocks").alias("block"), "sketch")
     block = Window.partitionBy("doc", "block")
     members = members.withColumn("size", F.count("*").over(block)).where("size > 1")
     members = store(members.withColumn("rank", F.row_number().over(block.orderBy("place"))), "blocks")
-    later = members.select("doc", "block", "rank", F.col("place").alias("j"))
+    later = members.select("doc", "block", "rank", F.col("place").alias("j"), F.col("sketch").alias("sketch_j"))
+    apart = sum((F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("sketch_j", F.lit(k)))) for k in range(SKETCH // 64)), F.lit(0))
     waiting, first, width = members.where("rank < size"), 1, FIRST_ROUND
     while not waiting.isEmpty():
         steps = F.sequence(F.lit(first), F.least(F.lit(first + width - 1), F.col("size") - F.col("rank")))
-        each = waiting.select("doc", "block", F.col("place").alias("i"), F.explode(steps).alias("step"), "rank")
-        pairs = each.select("doc", "block", "i", (F.col("rank") + F.col("step")).cast("int").alias("rank")).join(
-            later, ["doc", "block", "rank"]).select("doc", "i", "j").distinct()
-        sides = [own.select("doc", F.col("place").alias(p), F.col("ids").alias(f"ids_{s}"), F.col("values").alias(f"values_{s}"),
+        each = waiting.select("doc", "block", F.col("place").alias("i"), F.explode(steps).alias("step"), "rank", "sketch")
+        pairs = each.select("doc", "block", "i", "sketch", (F.col("rank") + F.col("step")).cast("int").alias("rank")).join(
+            later, ["doc", "block", "rank"]).where(apart <= APART).select("doc", "i", "j").distinct()
+        ends = [own.select("doc", F.col("place").alias(p), F.col("ids").alias(f"ids_{s}"), F.col("values").alias(f"values_{s}"),
                             F.col("norm").alias(f"norm_{s}")) for p, s in (("i", "a"), ("j", "b"))]
-        both = pairs.join(sides[0], ["doc", "i"]).join(sides[1], ["doc", "j"])
+        both = pairs.join(ends[0], ["doc", "i"]).join(ends[1], ["doc", "j"])
         similar = store(both.mapInArrow(_similar(threshold), own.select("doc", "place").schema).distinct(), "similar")
         found.append(similar)
         first, width = first + width, width * GROWTH
