@@ -91,3 +91,21 @@ def test_splits_are_balanced_by_their_own_ratios(spark):
             assert got[kind, 1] == own[kind, 1]
             assert got[kind, 0] == (own[kind, 0] if wanted is None else wanted * own[kind, 1])
         assert all(got["test", t] == own["test", t] for t in (0, 1))
+
+
+def test_short_phrases_meet_words_that_end_where_they_go_on(spark, monkeypatch):
+    texts = ["An end. Endless bend", "the end", "Bend the ending. x", "un-end.ed", "to end it. So be it.", "bend. It", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "snapshot_id long, email string")
+    listed = ["end.", "end", "the end", "-end", "end it.", "end end", "it."]
+    kept, plain = {}, lexicon.store
+    monkeypatch.setattr(lexicon, "store", lambda d, purpose: kept.setdefault(purpose, plain(d, purpose)))
+    found = lexicon.remove_phrase_table(df, spark.createDataFrame([(p,) for p in listed], "phrase string"))
+    from threadsieve.functions import text as tx
+    want = df.withColumn("email", tx.remove_phrases(F.col("email"), listed))
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    met = {}
+    for r in kept["within"].collect():
+        met.setdefault(r.phrase, set()).add(r.word)
+    words = {"end", "endless", "bend", "ending"}
+    assert met["end"] == met["end end"] == words and met["end."] == {"end", "bend"} and met["-end"] == {"end", "endless", "ending"}
+    assert met["the end"] == {"end", "endless", "ending"} and met["end it."] == {"end", "bend"} and met["it."] == {"it"}

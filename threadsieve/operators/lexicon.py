@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadsieve.functions.text import NON_SPACE, WORD, drop_sentences
+from threadsieve.functions.text import NON_SPACE, WORD, drop_sentences, split_sentences
 from threadsieve.session import hint_if_small, store
 
 # Phrases without any word up to this number are searched in every text.
@@ -95,8 +95,8 @@ def remove_phrase_table(
     longest the one that fewer texts have. The texts' words are read once, only
     those that phrases name are kept, and their counts choose the anchors.
     A phrase of one or two words has no inner word: its longest word lies within
-    some word of the text, found among the distinct words of all texts by
-    their character trigrams. Phrases without any word, if there are a few, are searched in each text.
+    some word of the text, at its start or end or as the whole where the phrase goes on
+    beside it, found among the distinct words of all texts by their character trigrams. Phrases without any word, if there are a few, are searched in each text.
     A kind of phrase that the table does not hold costs nothing, and a text
     that meets no phrase gives no row.
     The phrases met by a text are then searched in its sentences, in its own row.
@@ -109,7 +109,12 @@ def remove_phrase_table(
         "phrase", _longest(inner, 2).alias("words"), F.get(_longest(every, 1), F.lit(0)).alias("part")), "phrases")
     kinds = listed.agg(
         F.count_if(F.size("words") > 0), F.count_if((F.size("words") == 0) & F.col("part").isNotNull()), F.count_if(F.col("part").isNull())).first()
-    partial = listed.where((F.size("words") == 0) & F.col("part").isNotNull()).select("phrase", "part")
+    # where the phrase goes on beside its longest word, with a blank or a mark, the word of the text ends there too
+    said = F.regexp_extract_all("phrase", F.lit(rf"[{WORD}]+"), F.lit(0))
+    begins = (F.get(said, F.lit(0)) != F.col("part")) | ~F.startswith("phrase", "part")
+    ends = (F.element_at(said, -1) != F.col("part")) | ~F.endswith("phrase", "part")
+    partial = listed.where((F.size("words") == 0) & F.col("part").isNotNull()).select(
+        "phrase", "part", begins.alias("begins"), ends.alias("ends"))
 
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"[{WORD}]+"), 0))
     texts = df.select(F.col(row_id).alias("_row"), F.explode(words).alias("word"))
@@ -125,11 +130,12 @@ def remove_phrase_table(
     if kinds[1]:
         parts = partial.withColumn("gram", F.col("part").substr(1, 3))
         vocabulary = texts.select("word").distinct()
-        within = (
+        within = store(
             vocabulary.select("word", F.explode(_grams(F.col("word"))).alias("gram"))
-            .join(hint_if_small(parts), "gram").where(F.contains("word", "part")).select("phrase", "word").distinct()
-        )
-        met.append(texts.join(within, "word").select("_row", "phrase"))
+            .join(hint_if_small(parts), "gram").where(F.contains("word", "part"))
+            .where(~F.col("begins") | F.startswith("word", "part")).where(~F.col("ends") | F.endswith("word", "part"))
+            .select("phrase", "word").distinct(), "within")
+        met.append(texts.join(hint_if_small(within), "word").select("_row", "phrase"))
     if kinds[2] > SEARCHED:
         # Blanks cannot anchor, since sentences are split at them: a phrase of blanks alone is met by every text.
         marks = listed.where("part IS NULL").select(
@@ -152,7 +158,7 @@ def remove_phrase_table(
         return F.exists("_searched", lambda p: F.contains(low_sentence, p))
 
     return found.withColumn(name or text, F.when(F.size("_searched") > 0, drop_sentences(F.col(text), hit)).otherwise(
-        drop_sentences(F.col(text), lambda *_: F.lit(False)))).drop("_searched")
+        F.array_join(split_sentences(F.col(text)), " "))).drop("_searched")
 
 
 def _longest(words, n):
