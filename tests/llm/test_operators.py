@@ -442,3 +442,15 @@ def test_copies_about_the_threshold_lose_no_link_and_few_pairs_are_compared(spar
     # Copies that are linked are compared in proportion. Where none is linked most pairs share a bucket and have to be looked at.
     pairs = sum(t.count() for t in compared)
     assert (pairs < 25 * copies if edits == 5 else pairs < 1.1 * copies * (copies - 1) / 2) and len(compared) < 6
+
+
+def test_differences_are_exploded_once(spark):
+    rows = [(1, b, 1, b, True, b % 3 == 0, 100, [b // 2, 1000 + b // 4, *range(2000, 2040)]) for b in range(10, 50)]
+    schema = "a long, b long, root_a long, root_b long, star boolean, linked boolean, n long, changes array<long>"
+    found = neardup._next_buckets(spark.createDataFrame(rows, schema), 80)
+    # stored differences are read back: nothing is exploded again on either side of a join
+    assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
+    met = {}
+    for r in found.collect():
+        met.setdefault(r.bucket, set()).add(r._node)
+    assert {frozenset({2 * i, 2 * i + 1}) for i in range(5, 25)} <= {frozenset(m) for m in met.values()}

@@ -195,12 +195,13 @@ def _next_buckets(checked: DataFrame, percent: int) -> DataFrame:
     # One order of the differences of a star serves all its members: those that several of a few members have come last.
     sampled = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))).where(F.col("_rn") <= LOOKED_AT)
     often = sampled.select("a", F.explode("changes").alias("f")).groupBy("a", "f").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
-    often = often.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("n", "f"))).alias("often"))
+    often = store(often.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("n", "f"))).alias("often")), "often")
     last = F.coalesce(F.col("often.f"), F.array().cast("array<long>"))
     ordered = F.concat(F.array_except("changes", last), F.array_intersect(last, F.col("changes")))
     each = rows.join(often, "a", "left").select(
         "a", "b", "linked", "root_b", "k", F.explode(F.slice(ordered, F.lit(1), F.col("prefix").cast("int"))).alias("f"))
-    each = each.withColumn("key", F.xxhash64("a", "f"))
+    # both sides of the join below read the prefixes; stored, they and the differences of the few are exploded once
+    each = store(each.withColumn("key", F.xxhash64("a", "f")).drop("a", "f"), "prefixes")
     shared = each.groupBy("key").agg(F.count("*").alias("among")).where("among > 1").select("key")
     first = each.join(shared, "key")
     return first.select(
