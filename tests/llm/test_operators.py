@@ -454,3 +454,33 @@ def test_differences_are_exploded_once(spark):
     for r in found.collect():
         met.setdefault(r.bucket, set()).add(r._node)
     assert {frozenset({2 * i, 2 * i + 1}) for i in range(5, 25)} <= {frozenset(m) for m in met.values()}
+
+
+@pytest.mark.parametrize("part", [1 << 18, 50])
+def test_prefixes_leave_out_differences_that_no_pair_to_be_found_shares(spark, monkeypatch, part):
+    """Members with 30 differences of their own and 12 of 40 common ones: every pair that may be linked meets, over few rows."""
+    rng, made = random.Random(7), []
+    plain = neardup.store
+    monkeypatch.setattr(neardup, "store", lambda df, name: made.append(t) or t if (t := plain(df, name)) is not None and name == "prefixes" else t)
+    monkeypatch.setattr(neardup, "PART", part, raising=False)
+    rows = []
+    for a in (1, 2):
+        for b in range(10 * a * a, 10 * a * a + 30):
+            own = [-1000 * b - i for i in range(rng.choice([4, 30]))]
+            rows.append((a, b, 1, 5 if b % 4 == 0 else b, True, b % 4 == 0, 100, [*own, *rng.sample(range(40), 12)]))
+    schema = "a long, b long, root_a long, root_b long, star boolean, linked boolean, n long, changes array<long>"
+    met = {}
+    for r in neardup._next_buckets(spark.createDataFrame(rows, schema), 80).collect():
+        met.setdefault(r.bucket, set()).add(r._node)
+        assert r._node in {x[1] for x in rows}
+    together = {(x, y) for m in met.values() for x in m for y in m}
+    wanted = 0
+    for x in rows:
+        for y in rows:
+            if x[0] == y[0] and x[1] < y[1] and x[3] != y[3] and not (x[5] and y[5]):
+                if 2 * len(set(x[7]) & set(y[7])) >= len(x[7]) + len(y[7]) - 22:  # 22: (100 + 100) * 0.2 / 1.8
+                    wanted += 1
+                    assert (x[1], y[1]) in together
+    assert wanted > 30
+    # a difference of one member alone is never sent on
+    assert 0 < made[0].count() <= 10 * len(rows), made[0].count()

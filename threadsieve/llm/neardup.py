@@ -11,8 +11,9 @@ pairs. A larger one gives the edges of a star: each member with a centre, a node
 with members on their full sets, which also yields how each member differs from its centre: the shingles added and
 those missing. Two members that share none of these differences are no more similar than the less similar of them is
 to the centre. So a link that the star does not show, between a member that failed and any other, needs
-differences in common, and how many follows from the sizes. The first of them in one order of the star (a prefix, as in set joins),
-in which differences that several of a few members have come last, make the buckets of the next round, in which only members of different components stay. Stars thus
+differences in common, and how many follows from the sizes. Differences that no such pair can share, most often those of one
+member alone, are left out by counting. The first of the others (a prefix, as in set joins), the rarest of the star first,
+make the buckets of the next round, in which only members of different components stay. Stars thus
 bound the pairs where copies are many, and no candidate pair of a bucket is lost.
 At the threshold a pair misses all of its buckets with probability ``(1 - t ** ROWS) ** BANDS``, 3e-7 at 0.85.
 """
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadsieve.llm.common import digest, spread, whole
@@ -38,8 +39,9 @@ BINS = BANDS * ROWS
 FEW = 32
 # Rounds in which the buckets of a group share a centre.
 SHARED_CENTRES = 2
-# Members of a star in which frequent differences are looked for, and those that make one frequent. Any order is exact.
-LOOKED_AT, OFTEN = 32, 3
+# Differences of a star that are counted together; those of a larger one are dealt by their hash.
+PART = 1 << 18
+MEMBER = ["a", "b", "linked", "root_b", "k", "common"]
 _EDGES = (np.arange(BINS + 1, dtype=object) * (1 << 64) // BINS)
 _LOW = np.array([int(x) for x in _EDGES[:-1]], np.uint64)
 
@@ -173,35 +175,64 @@ def _pairs(live: DataFrame, shared: bool) -> DataFrame:
     return stars.unionByName(both).groupBy("a", "b", "root_a", "root_b").agg(F.max("star").alias("star"))
 
 
+def _count_holders(part: pa.Table) -> pa.Table:
+    """The differences of one part that a failed member and one of another component have, each with its number of holders."""
+    held, root, failed = part["size"].to_numpy(), part["root_b"].to_numpy(), ~part["linked"].to_numpy()
+    f, row = part["changes"].combine_chunks().flatten().to_numpy(), np.repeat(np.arange(part.num_rows), held)
+    order = np.argsort(f, kind="stable")
+    f, row = f[order], row[order]
+    first = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
+    holders = np.diff(np.append(first, len(f)))
+    wanted = np.maximum.reduceat(failed[row], first) & (np.minimum.reduceat(root[row], first) != np.maximum.reduceat(root[row], first))
+    at = np.flatnonzero(np.repeat(wanted, holders))
+    at = at[np.argsort(row[at], kind="stable")]
+    offsets = np.zeros(part.num_rows + 1, np.int32)
+    np.cumsum(np.bincount(row[at], minlength=part.num_rows), out=offsets[1:])
+    useful = pa.StructArray.from_arrays([pa.array(np.repeat(holders, holders)[at]), pa.array(f[at])], names=["holders", "f"])
+    return part.select(MEMBER).append_column("useful", pa.ListArray.from_arrays(offsets, useful))
+
+
+def _useful(rows: DataFrame) -> DataFrame:
+    """``a, b, linked, root_b, k, common, useful``: the differences of each member that may be shared by a pair to be found, in
+    an order of the star: fewest holders first.
+
+    Members are sent as arrays, so a star gives a row per member and part, not one per difference. A part holds about
+    ``PART`` differences, however many members the star has.
+    """
+    part = F.explode(F.array_distinct(F.transform("changes", lambda f: F.pmod(f, F.col("parts"))))).alias("part")
+    dealt = rows.select(*MEMBER, "parts", "changes", part)
+    dealt = dealt.withColumn("changes", F.filter("changes", lambda f: F.pmod(f, F.col("parts")) == F.col("part")))
+    dealt = dealt.select(*MEMBER, "part", "changes", F.size("changes").alias("size"))
+    counted = dealt.groupBy("a", "part").applyInArrow(
+        _count_holders, "a long, b long, linked boolean, root_b long, k long, common long, useful array<struct<holders:bigint,f:bigint>>")
+    return counted.groupBy(*MEMBER).agg(F.sort_array(F.flatten(F.collect_list("useful"))).alias("useful"))
+
+
 def _next_buckets(checked: DataFrame, percent: int) -> DataFrame:
     """``bucket, _node, root, pull, failed``: members of a star that may be linked with each other though not over its centre.
 
     A pair of sizes n and m and similarity t differs in at most ``slack = (n + m) * (1 - t) / (1 + t)`` shingles, where m is at
     most ``n / t`` and at most the largest of the star. With k and l differences from the centre it shares at least
     ``(k + l - slack) / 2`` of them; l is at least the least of the star, or of its failed members when the pair's own side is
-    linked.
+    linked. Of the differences only those count that a failed member and a member of another component have: a pair has all
+    that it shares among them.
     """
     rows = checked.withColumn("k", F.size("changes").cast("long"))
     stars = rows.groupBy("a").agg(
         F.min("k").alias("least"), F.min(F.when(~F.col("linked"), F.col("k"))).alias("free"), F.max("n").alias("most"),
-        F.min("root_b").alias("lo"), F.max("root_b").alias("hi"),
-    ).where("free is not null and lo <> hi").select("a", "least", "free", "most")
+        F.min("root_b").alias("lo"), F.max("root_b").alias("hi"), F.ceil(F.sum("k") / PART).alias("parts"),
+    ).where("free is not null and lo <> hi").select("a", "least", "free", "most", "parts")
     rows = rows.join(stars, "a")
     largest = F.least(F.col("most"), F.floor(F.col("n") * 100 / percent))
     slack = F.floor((F.col("n") + largest) * (100 - percent) / (100 + percent))
     other = F.greatest(F.when(F.col("linked"), F.col("free")).otherwise(F.col("least")), F.col("k") - slack)
     common = F.greatest(F.lit(1), F.ceil((F.col("k") + other - slack) / 2))
-    rows = rows.withColumn("prefix", F.col("k") - common + 1).where("prefix > 0")
-    # One order of the differences of a star serves all its members: those that several of a few members have come last.
-    sampled = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))).where(F.col("_rn") <= LOOKED_AT)
-    often = sampled.select("a", F.explode("changes").alias("f")).groupBy("a", "f").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
-    often = store(often.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("n", "f"))).alias("often")), "often")
-    last = F.coalesce(F.col("often.f"), F.array().cast("array<long>"))
-    ordered = F.concat(F.array_except("changes", last), F.array_intersect(last, F.col("changes")))
-    each = rows.join(often, "a", "left").select(
-        "a", "b", "linked", "root_b", "k", F.explode(F.slice(ordered, F.lit(1), F.col("prefix").cast("int"))).alias("f"))
-    # both sides of the join below read the prefixes; stored, they and the differences of the few are exploded once
-    each = store(each.withColumn("key", F.xxhash64("a", "f")).drop("a", "f"), "prefixes")
+    rows = rows.withColumn("common", common).where("common <= k")
+    # only differences that may be shared by a pair still to be found are counted for the prefix, the rarest of a star first
+    each = _useful(rows).withColumn("prefix", F.size("useful") - F.col("common") + 1).where("prefix > 0").select(
+        "a", "b", "linked", "root_b", "k", F.explode(F.slice("useful", F.lit(1), F.col("prefix").cast("int"))).alias("f"))
+    # both sides of the join below read the prefixes; stored, they are exploded once
+    each = store(each.withColumn("key", F.xxhash64("a", "f.f")).drop("a", "f"), "prefixes")
     shared = each.groupBy("key").agg(F.count("*").alias("among")).where("among > 1").select("key")
     first = each.join(shared, "key")
     return first.select(
