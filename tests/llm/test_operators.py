@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadsieve.llm import chat, decontamination, langid, lines, mixing, neardup, quality, sharding, suffixes, toxicity
+from threadsieve.llm.common import BATCH, BATCH_BYTES
 from threadsieve.llm.samples import per_class
 from threadsieve.llm.words import pieces, shingle_sets
 
@@ -168,6 +169,35 @@ def test_places_counted_one_by_one(docs, monkeypatch):
     assert Counter((r.doc_id, bytes(r.kept)) for r in suffixes.without_repeats(docs).collect()) == want
 
 
+@pytest.fixture
+def long_texts(spark):
+    """40 MB of text whose rows give Arrow batches of 10 MB and more on 8 cores; the session's batch size as Spark has it."""
+    spark.conf.unset(BATCH)
+    words = F.concat_ws(" ", "id", F.repeat(F.lit("some more words "), 1250))
+    yield spark.range(2000).select(F.col("id").alias("doc_id"), words.alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source")).coalesce(1)
+    spark.conf.unset(BATCH)
+
+
+def test_batches_of_language_are_small(long_texts, monkeypatch):
+    def told(model, gap):
+        def run(batches):
+            for b in batches:
+                n = len(b)
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([str(b.nbytes)] * n), pa.array([0.0] * n), pa.array([False] * n)],
+                                                 names=["row", "lang_pred", "score", "ambiguous"])
+        return run
+
+    monkeypatch.setattr(langid, "_predict", told)
+    got = [int(r.lang_pred) for r in langid.identify(long_texts, None).select("lang_pred").collect()]
+    assert len(got) == 2000 and max(got) < BATCH_BYTES + 100_000
+
+
+def test_batch_size_of_the_session_stays(spark, long_texts):
+    spark.conf.set(BATCH, "1m")
+    assert langid.identify(long_texts, None).count() == 2000
+    assert spark.conf.get(BATCH) == "1m"
+
+
 def test_lines(docs, rows, empty):
     first, want = {}, Counter()
     for doc, text, *_ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadsieve.llm.common import spread, whole
+from threadsieve.llm.common import map_batches, spread, whole
 from threadsieve.llm.words import mix, pieces, shingles, words
 
 WORDS, BITS, BLOCKS, RADIUS = 5, 128, 8, 39
@@ -164,7 +164,7 @@ def matches(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
                         pa.array([f[2] for f in found], pa.float64()), pa.array([s[0] for s in spans], pa.int64()),
                         pa.array([s[1] for s in spans], pa.int64())], names=["doc_id", "item_id", "similarity", "start", "end"])
 
-        found = rows.mapInArrow(run, schema)
+        found = map_batches(rows, run, schema)
         out = found if out is None else out.unionByName(found)
     return rows.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -182,5 +182,5 @@ def clean(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(keep))], names=["row"])
 
         rows = spread(docs).select(whole(docs).alias("row"), "text")
-        docs = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
+        docs = map_batches(rows, run, f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
     return docs

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadsieve.llm.common import spread, whole
+from threadsieve.llm.common import map_batches, spread, whole
 from threadsieve.llm.samples import per_class
 from threadsieve.llm.words import LOWER, Piece, pieces
 
@@ -85,7 +85,7 @@ class Model:
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Learn from rows ``doc_id, text, lang``; rows without language or letters teach nothing. None without any."""
     rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    rows = per_class(rows, "lang", per_language).select("text", "lang").mapInArrow(_count, "lang string, g array<int>, n array<int>")
+    rows = map_batches(per_class(rows, "lang", per_language).select("text", "lang"), _count, "lang string, g array<int>, n array<int>")
     table = rows.toArrow().combine_chunks()
     sample = [(lang.as_py(), g.values.to_numpy(), n.values.to_numpy().astype(np.float32))
               for lang, g, n in zip(table["lang"], table["g"], table["n"], strict=True) if len(g)]
@@ -149,7 +149,7 @@ def identify(docs: DataFrame, model: Model | None, gap: float = 0.1) -> DataFram
     """
     rows = spread(docs).select(whole(docs).alias("row"), "text")
     schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean"
-    return rows.mapInArrow(_predict(model, gap), schema)
+    return map_batches(rows, _predict(model, gap), schema)
 
 
 def learnable(docs: DataFrame) -> DataFrame:

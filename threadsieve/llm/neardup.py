@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadsieve.llm.common import digest, spread, whole
+from threadsieve.llm.common import digest, map_batches, spread, whole
 from threadsieve.llm.components import components
 from threadsieve.llm.words import mix, pieces, shingle_sets
 from threadsieve.session import store
@@ -95,8 +95,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketches(docs: DataFrame) -> DataFrame:
     """``doc_id, _text (digest), n_shingles, _node (digest of the set), _bands``, one row per document."""
     rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return rows.select("doc_id", digest("text").alias("_text"), "text").mapInArrow(
-        _sketch, "doc_id long, _text long, n_shingles long, _node long, _bands array<long>")
+    return map_batches(
+        rows.select("doc_id", digest("text").alias("_text"), "text"), _sketch, "doc_id long, _text long, n_shingles long, _node long, _bands array<long>")
 
 
 _MISSING = np.uint64(0xA5A5A5A5A5A5A5A5)
@@ -143,8 +143,8 @@ def compare(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     sides = texts.select(F.col("_node").alias("b"), F.col("text").alias("text_b"))
     centres = texts.select(F.col("_node").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(sides, "b").join(centres, "a").select("a", "b", "root_a", "root_b", "star", "text_a", "text_b")
-    return both.mapInArrow(
-        _compare(percent), "a long, b long, root_a long, root_b long, star boolean, linked boolean, n long, changes array<long>")
+    return map_batches(
+        both, _compare(percent), "a long, b long, root_a long, root_b long, star boolean, linked boolean, n long, changes array<long>")
 
 
 def _pairs(live: DataFrame, shared: bool) -> DataFrame:
