@@ -192,6 +192,20 @@ def test_batches_of_language_are_small(long_texts, monkeypatch):
     assert len(got) == 2000 and max(got) < BATCH_BYTES + 100_000
 
 
+def test_batches_of_lines_are_small(long_texts, monkeypatch):
+    def told(min_words):
+        def run(batches):
+            for b in batches:
+                size, zero = pa.array([b.nbytes] * len(b)), pa.array([0] * len(b))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_text"), b.column("doc_id"), zero, size, zero, zero],
+                                                 names=["doc_id", "_text", "line", "start", "end", "k1", "k2"])
+        return run
+
+    monkeypatch.setattr(lines, "_units", told)
+    got = [r.end for r in lines.repeated_lines(long_texts).select("end").collect()]
+    assert len(got) == 1999 and max(got) < BATCH_BYTES + 100_000
+
+
 def test_batch_size_of_the_session_stays(spark, long_texts):
     spark.conf.set(BATCH, "1m")
     assert langid.identify(long_texts, None).count() == 2000
