@@ -10,6 +10,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from threadsieve.operators import boosting, forest, growth, trees
+from threadsieve.operators.resident import Resident
 
 
 @pytest.fixture(scope="module")
@@ -105,6 +106,47 @@ def test_trees_do_not_depend_on_partitions_or_on_who_adds_up(spark, points, monk
     assert trees.train_gbt(df.repartition(6), validation="is_val", rounds=3).getOrDefault("trees") == wanted.getOrDefault("trees")
 
 
+@pytest.mark.parametrize("changed", [{}, {"rows": 0.7, "rows_every": 2, "features": 0.6, "metric": "auc"}, {"depth": 1}])
+def test_rows_of_one_task_are_read_once_and_give_the_trees_of_passes(spark, points, monkeypatch, changed):
+    _, _, df = points
+    options = boosting.Options(**{"rounds": 7, "depth": 4, "patience": 3, "step": 0.3} | changed)
+    passes, one = [], boosting.Booster._pass
+    monkeypatch.setattr(boosting.Booster, "_pass", lambda self, *a, **b: passes.append(a) or one(self, *a, **b))
+    monkeypatch.setattr(growth, "BLOCK_ROWS", 90)
+    wanted = trees.train_gbt(df, validation="is_val", options=options)
+    # at most the measure of the last round
+    assert len(passes) <= 1
+    monkeypatch.setattr(boosting, "CELLS_IN_TASK", 0)
+    assert trees.train_gbt(df, validation="is_val", options=options).getOrDefault("trees") == wanted.getOrDefault("trees")
+    assert len(passes) > 3 and wanted.size > 1
+
+
+def test_histograms_of_one_task_are_those_of_passes():
+    rng = np.random.default_rng(4)
+    zero, blocks = np.array([1, 0, 2, 0], np.uint8), []
+    for number in range(3):
+        x = np.where(rng.random((70, 4)) < 0.5, rng.integers(0, growth.BINS, (70, 4)), zero).astype(np.uint8)
+        blocks.append(growth.Block(number, x, rng.integers(0, 2, 70).astype(float), np.ones(70), rng.random(70) < 0.2, rng.normal(size=70)))
+    held = Resident(blocks[::-1], zero, boosting.Options(least=0.1), lambda b: b.margin, boosting.loss_sums, boosting.measured)
+    tree, frontier = growth.Tree(), [0]
+    for _ in range(4):
+        found = held.look(0, tree, frontier, True)
+        total = 0.0
+        for b in blocks:
+            p, node = boosting.sigmoid(b.margin), tree.walk(b.x)
+            slots = np.full(len(tree.left), -1)
+            slots[frontier] = np.arange(len(frontier))
+            g, h = growth.exact(b.w * (p - b.y)), growth.exact(b.w * p * (1 - p))
+            total = total + growth.histogram(b.x, np.where(b.held, -1, slots[node]), len(frontier), g, h, zero)
+        for slot, node in enumerate(frontier):
+            assert (np.moveaxis(held.sums[node], 0, -1) == total[slot]).all()
+        best = {r["slot"]: r for r in found}
+        assert best.keys() == {-1, *range(len(frontier))}
+        frontier = [c for slot, node in enumerate(frontier) for c in tree.split(node, best[slot]["feature"], best[slot]["bin"], (0.0, 0.0))]
+    held.end(tree)
+    assert [r.number for r in held.rows] == [0, 1, 2] and all((r.node == tree.walk(b.x)).all() for r, b in zip(held.rows, blocks))
+
+
 def test_measures():
     rng = np.random.default_rng(1)
     y, margin = rng.integers(0, 2, 500), np.round(rng.normal(size=500), 1)
