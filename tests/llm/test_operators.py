@@ -119,6 +119,20 @@ def test_unlinked_documents_of_one_id_all_stay(spark):
     assert (7, own[5] + " more") in got and (8, own[5]) not in got
 
 
+def test_wide_rows_of_kept_documents_are_shuffled_once(spark):
+    docs = make(spark, [(i if i % 4 else None, " ".join(f"w{i % 30}x{j}" for j in range(9)), "en", None) for i in range(90)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = neardup.one_of_each(docs, 80)
+        plan = spark._jvm.PythonSQLUtils.explainString(kept._jdf.queryExecution(), "formatted")
+        assert len({r.text for r in kept.collect()}) == kept.count() == 30
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)
+    assert sum("row#" in columns for columns in moved) == 1
+
+
 def test_signatures_estimate_similarity():
     a, b = " ".join(f"w{i}" for i in range(204)), " ".join(f"w{i}" for i in range(20, 224))
     (h, bounds), = [shingle_sets(p, 5) for p in pieces(pa.array([a, b]))]

@@ -305,10 +305,11 @@ def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = near_duplicates(docs, percent).where("kept and n_shingles > 0")
     # the id of all kept rows of a class is its component_id, so the least text picks one of them
     some = classes.groupBy("_root", "doc_id").agg(F.min("_text").alias("_text")).select("doc_id", "_text")
-    rows = docs.select(whole(docs).alias("row"), F.col("doc_id").cast("long").alias("_id"), digest("text").alias("_text"), "text")
+    # null ids as a mark of their own: the join then deals the wide rows by the very columns of the last step, which needs no other shuffle
+    own = F.col("doc_id").cast("long")
+    key = [F.coalesce(own, F.lit(0).cast("long")).alias("_id"), own.isNull().alias("_none")]
+    rows = docs.select(whole(docs).alias("row"), *key, digest("text").alias("_text"), "text")
     full = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    picked = rows.where(full).join(
-        some.select(F.col("doc_id").alias("_id2"), F.col("_text").alias("_text2")),
-        F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_text") == F.col("_text2")))
-    picked = picked.dropDuplicates(["_id", "_text"])
+    names = ["_id", "_none", "_text"]
+    picked = rows.where(full).join(some.select(*key, "_text"), names).dropDuplicates(names)
     return picked.select("row.*").union(rows.where(~full).select("row.*"))
